@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import WordHashes, batches, rolling, stored, utf8
+from assayloom.llm.common import batches, hash_words, rolling, stored, utf8
 
 BANDS, ROWS = 40, 5
 
 
-def shingle_set(text: bytes | None, k: int, words: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of an ASCII-lower-cased text; empty without words."""
-    h = words.array(text.lower().split()) if text else np.empty(0, np.uint64)
+    h = hash_words(text.lower()) if text else np.empty(0, np.uint64)
     return np.unique(rolling(h, k))
 
 
@@ -57,11 +57,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, ro
     """(id, n, digest, sig); digest and sig are null where the set is empty."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (a, b) = WordHashes(), coefficients(bands * rows, seed)
+        a, b = coefficients(bands * rows, seed)
         for batch in batches(it):
             n, digest, sig = [], [], []
             for text in batch.column(1).to_pylist():
-                s = shingle_set(text, k, words)
+                s = shingle_set(text, k)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(signature(s, a, b).tobytes() if len(s) else None)
@@ -91,9 +91,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t")).join(ids, "id", "left_semi")
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches(it, 500):
-            out = [shingle_set(t, k, words).tobytes() for t in batch.column(1).to_pylist()]
+            out = [shingle_set(t, k).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "s"])
 
     made = stored(texts.mapInArrow(sets, "id long, s binary"), "sets")

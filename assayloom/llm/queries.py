@@ -8,14 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assayloom.llm.common import table
 from assayloom.llm.near_dup import near_duplicates
+from assayloom.llm.quality_classifier import quality_scores
+from assayloom.llm.quality_rules import fit_forest, quality_rules
+from assayloom.llm.toxicity import toxicity_scores
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, num=80, den=100)
 
 
+def op5_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_forest(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=3, kept_back=1)
+
+
+def op10_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=5, kept_back=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
+    "op5_isolation_forest": op5_isolation_forest,
+    "op9_quadratic_discriminant": op9_quadratic_discriminant,
+    "op10_counterfactual": op10_counterfactual,
 }
 
 SQL: dict[str, str] = {}
