@@ -10,9 +10,21 @@ from assayloom.llm.common import table
 from assayloom.llm.near_dup import near_duplicates
 from assayloom.llm.quality_classifier import quality_scores
 from assayloom.llm.quality_rules import fit_forest, quality_rules
+from assayloom.llm.tokens import token_files
 from assayloom.llm.toxicity import toxicity_scores
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where the machine's public tokenizer files are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_patched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=0)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, num=80, den=100)
 
@@ -31,6 +43,7 @@ def op10_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_patched_frames": op3_patched_frames,
     "op4_minhash": op4_minhash,
     "op5_isolation_forest": op5_isolation_forest,
     "op9_quadratic_discriminant": op9_quadratic_discriminant,
