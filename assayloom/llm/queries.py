@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assayloom.llm.common import table
+from assayloom.llm.mixing import mix, token_count
 from assayloom.llm.near_dup import near_duplicates
 from assayloom.llm.quality_classifier import quality_scores
 from assayloom.llm.quality_rules import fit_forest, quality_rules
+from assayloom.llm.sharding import shard_places
 from assayloom.llm.tokens import token_files
 from assayloom.llm.toxicity import toxicity_scores
 
@@ -21,6 +24,10 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_places(table(spark, sf_dir, "documents"), n_shards=16)
+
+
 def op3_patched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=0)
 
@@ -34,6 +41,20 @@ def op5_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, fit_forest(docs, table(spark, sf_dir, "labels")))
 
 
+#: Shares of the mixture by level; sources share by their tokens.
+MIX_WEIGHTS = {"domain": {"web": 0.6, "curated": 0.4}, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}}
+
+
+def mix_domain() -> Column:
+    """Sources of one digit are web crawls here, the others curated."""
+    return F.when(F.col("source").rlike("^src[0-9]$"), "web").otherwise("curated")
+
+
+def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, domain=mix_domain())
+    return mixed.select("doc_id", mix_domain().alias("domain"), "lang", "source", token_count().alias("n_tokens"), "mix_epoch")
+
+
 def op9_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=3, kept_back=1)
 
@@ -43,9 +64,11 @@ def op10_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_virtual_slots": op1_virtual_slots,
     "op3_patched_frames": op3_patched_frames,
     "op4_minhash": op4_minhash,
     "op5_isolation_forest": op5_isolation_forest,
+    "op7_hierarchical_mix": op7_hierarchical_mix,
     "op9_quadratic_discriminant": op9_quadratic_discriminant,
     "op10_counterfactual": op10_counterfactual,
 }
