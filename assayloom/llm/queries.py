@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.llm.common import table
+from assayloom.llm.decontam import leaks
 from assayloom.llm.mixing import mix, token_count
 from assayloom.llm.near_dup import near_duplicates
 from assayloom.llm.quality_classifier import quality_scores
@@ -28,6 +29,10 @@ def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_places(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op2_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_patched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=0)
 
@@ -65,6 +70,7 @@ def op10_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_virtual_slots": op1_virtual_slots,
+    "op2_simhash_windows": op2_simhash_windows,
     "op3_patched_frames": op3_patched_frames,
     "op4_minhash": op4_minhash,
     "op5_isolation_forest": op5_isolation_forest,
