@@ -11,6 +11,7 @@ from assayloom.llm.common import table
 from assayloom.llm.decontam import leaks
 from assayloom.llm.mixing import mix, token_count
 from assayloom.llm.near_dup import near_duplicates
+from assayloom.llm.pii import span_digests
 from assayloom.llm.quality_classifier import quality_scores
 from assayloom.llm.quality_rules import fit_forest, quality_rules
 from assayloom.llm.sharding import shard_places
@@ -46,6 +47,10 @@ def op5_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, fit_forest(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_bootstrapped_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(table(spark, sf_dir, "documents"))
+
+
 #: Shares of the mixture by level; sources share by their tokens.
 MIX_WEIGHTS = {"domain": {"web": 0.6, "curated": 0.4}, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}}
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_patched_frames": op3_patched_frames,
     "op4_minhash": op4_minhash,
     "op5_isolation_forest": op5_isolation_forest,
+    "op6_bootstrapped_context": op6_bootstrapped_context,
     "op7_hierarchical_mix": op7_hierarchical_mix,
     "op9_quadratic_discriminant": op9_quadratic_discriminant,
     "op10_counterfactual": op10_counterfactual,
