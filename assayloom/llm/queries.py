@@ -17,6 +17,7 @@ from assayloom.llm.quality_rules import fit_forest, quality_rules
 from assayloom.llm.sharding import shard_places
 from assayloom.llm.tokens import token_files
 from assayloom.llm.toxicity import toxicity_scores
+from assayloom.llm.warc import warc_round_trip
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -73,6 +74,10 @@ def op10_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=5, kept_back=0)
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_virtual_slots": op1_virtual_slots,
     "op2_simhash_windows": op2_simhash_windows,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_isolation_forest": op5_isolation_forest,
     "op6_bootstrapped_context": op6_bootstrapped_context,
     "op7_hierarchical_mix": op7_hierarchical_mix,
+    "op8_warc_index": op8_warc_index,
     "op9_quadratic_discriminant": op9_quadratic_discriminant,
     "op10_counterfactual": op10_counterfactual,
 }
