@@ -38,16 +38,16 @@ def _share(df: DataFrame, parent: list[str], rounds: int) -> DataFrame:
     return df
 
 
-def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total: float | None = None, max_epochs: float = 2.0, levels: list[str] = LEVELS, rounds: int = 8) -> DataFrame:
+def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total: float | None = None, total_share: float = 1.0, max_epochs: float = 2.0, levels: list[str] = LEVELS, rounds: int = 8) -> DataFrame:
     """(levels, tokens, budget) of every leaf.
 
     ``leaves`` has the level columns and ``tokens``. ``weights`` gives a level's nodes theirs by value
     (nodes it doesn't name: 1); nodes of a level without weights weigh what tokens they have. The total
-    is that of all tokens by default. Each level is settled from the top down against the capacities of
+    is ``total``, or ``total_share`` of all tokens. Each level is settled from the top down against the capacities of
     whole subtrees, which hands a shortage to siblings before it leaves the parent.
     """
     leaves = leaves.withColumn("capacity", F.col("tokens") * F.lit(float(max_epochs)))
-    top = F.lit(float(total)) if total is not None else F.sum(F.col("tokens").cast("double")).over(Window.partitionBy(F.lit(1)))
+    top = F.lit(float(total)) if total is not None else F.sum(F.col("tokens").cast("double")).over(Window.partitionBy(F.lit(1))) * total_share
     given = None
     for depth in range(1, len(levels) + 1):
         own, parent = levels[:depth], levels[: depth - 1]
@@ -72,7 +72,7 @@ def order_key(id_col: Column, epoch: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column | None = None, total: float | None = None, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", bucket_bits: int = 12) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column | None = None, total: float | None = None, total_share: float = 1.0, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", bucket_bits: int = 12) -> DataFrame:
     """``docs``, each row once for every epoch that takes it, with ``mix_epoch`` (from 0).
 
     A leaf's budget of b tokens out of t takes floor(b / t) whole epochs and, of the next, the longest
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column |
     keys = list(names.values())
     narrow = tagged.select(*[F.col(k).alias(lv) for lv, k in names.items()], F.col(id_col).alias("id"), token_count(text_col).alias("n"))
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
-    b = budgets(stored(leaves, "leaves"), weights, total, max_epochs)
+    b = budgets(stored(leaves, "leaves"), weights, total, total_share, max_epochs)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") * (1 + 1e-12))).otherwise(F.lit(0)).cast("int")
     b = stored(b.withColumn("whole", whole).withColumn("rest", F.greatest(F.col("budget") - F.col("whole") * F.col("tokens"), F.lit(0.0))).select(*LEVELS, "whole", "rest"), "leaf-budgets")
     # the cut of the last, partial epoch
