@@ -131,3 +131,27 @@ def batches(it: Iterator, size: int = 2000) -> Iterator:
     for b in it:
         for at in range(0, b.num_rows, size):
             yield b.slice(at, size)
+
+
+def groups(it: Iterator, keys: int) -> Iterator[list[list]]:
+    """The columns, as lists, of each run of rows that agree in the first ``keys`` columns."""
+    held, name = None, None
+    for batch in it:
+        columns = [c.to_pylist() for c in batch.columns]
+        names = list(zip(*columns[:keys], strict=True))
+        at = 0
+        while at < len(names):
+            end = at + 1
+            while end < len(names) and names[end] == names[at]:
+                end += 1
+            part = [c[at:end] for c in columns]
+            if held is not None and names[at] == name:
+                for h, c in zip(held, part, strict=True):
+                    h.extend(c)
+            else:
+                if held is not None:
+                    yield held
+                held, name = part, names[at]
+            at = end
+    if held is not None:
+        yield held

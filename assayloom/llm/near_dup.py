@@ -6,27 +6,29 @@ The plan, for N documents:
    MinHash signature (universal hashes ``a * x + b`` modulo 2**64, 16 bits kept of each minimum).
 2. Equal sets are one class (partial aggregation, so a huge group of copies is summed up before the
    shuffle); only one representative of each goes on.
-3. Every band of the signature is a bucket. A bucket's members are compared with its smallest member
-   only, so a bucket of n makes n - 1 candidates. Signatures discard hopeless ones; shingle sets of
-   the rest are made again from the texts and compared exactly.
-4. Verified links give components. Only buckets that still span several components are looked at
-   again: their members are compared in blocks, inside a task, across components, and survivors are
-   verified in the same way. No pair of a bucket that could change a component is left out.
-5. Components come from alternating large-star and small-star rounds, each written to the shared folder.
+3. Every band of the signature is a bucket. Within buckets, signatures that agree well enough link
+   roughly; the components of rough links are clusters that no true link leaves.
+4. Only for documents of clusters of two or more, shingle sets are made again from the texts. Within
+   clusters, sets are compared exactly; these links give the components.
+
+Steps 3 and 4 are one routine (``linked``). Its groups are dealt in chunks of bounded size. A task joins
+what it links, compares only what is not joined yet, and sends a spanning forest, so a group of n near
+copies makes under n links, not n * n. Members outside a group's largest component then meet the chunks
+they have not met: no pair that could change a component is left out. Components come from
+alternating large-star and small-star rounds, each written to the shared folder.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import batches, hash_words, rolling, stored, utf8
+from assayloom.llm.common import batches, groups, hash_words, rolling, stored, utf8
 
 BANDS, ROWS = 40, 5
 
@@ -70,50 +72,116 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, ro
     return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t")).mapInArrow(run, "id long, n long, digest binary, sig binary")
 
 
-def _similar_signatures(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in at least ``least`` of their places."""
-    both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(node, p): the shingle set of each document in ``ids``, made from its whole text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, 4000):
-            if batch.num_rows == 0:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in (2, 3))
-            keep = (x == y).mean(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+        for batch in batches(it, 500):
+            out = [shingle_set(t, k).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "p"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t")).join(ids, "id", "left_semi")
+    return texts.mapInArrow(run, "node long, p binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with ``den * intersection >= num * union`` on the whole shingle sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t")).join(ids, "id", "left_semi")
+class _Joined:
+    """Union-find over positions 0 to n - 1, starting from given components."""
 
-    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, 500):
-            out = [shingle_set(t, k).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "s"])
+    def __init__(self, comps: list):
+        at: dict = {}
+        self.label = np.array([at.setdefault(c, len(at)) for c in comps], np.int64)
+
+    def join(self, i: int, others: np.ndarray) -> list[int]:
+        """Join ``i`` with ``others``; the positions that were in other components, one of each."""
+        labels, first = np.unique(self.label[others], return_index=True)
+        fresh = labels != self.label[i]
+        if fresh.any():
+            self.label[np.isin(self.label, labels[fresh])] = self.label[i]
+        return others[first[fresh]].tolist()
+
+
+def _agree(payload: list[bytes], least: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Among positions, those whose signature agrees with position i's in ``least`` of the places."""
+    sig = np.frombuffer(b"".join(payload), "<u2").reshape(len(payload), -1)
+    return lambda i, others: others[(sig[others] == sig[i]).mean(axis=1) >= least]
+
+
+def _alike(payload: list[bytes], num: int, den: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Among positions, those whose set has ``den * intersection >= num * union`` with position i's."""
+    sets = [np.frombuffer(p, np.uint64) for p in payload]
+    size = np.array([len(x) for x in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    owner, every = np.repeat(np.arange(len(sets)), size)[order], every[order]
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        fit = others[den * np.minimum(size[others], size[i]) >= num * np.maximum(size[others], size[i])]
+        if not len(fit):
+            return fit
+        if len(fit) <= 3:
+            common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in fit])
+        else:
+            lo, hi = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(sets))[fit]
+        return fit[den * common >= num * (size[fit] + size[i] - common)]
 
-    made = stored(texts.mapInArrow(sets, "id long, s binary"), "sets")
-    both = pairs.join(made.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(made.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    return near
+
+
+def _link_task(compare: str, limits: tuple, keys: int, across: bool) -> Callable:
+    """Links within each group of rows (keys..., side, node, comp, payload); ``across``: between sides only."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, 500):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = sorted((x, y), key=len)
-                if den * len(small) < num * len(large):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                common = int((large[at] == small).sum())
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+        out_a, out_b = [], []
+        for side, node, comp, payload in (g[keys:] for g in groups(it, keys)):
+            order = sorted(range(len(node)), key=lambda k: (side[k], node[k]))
+            side, node, comp, payload = ([c[k] for k in order] for c in (side, node, comp, payload))
+            joined, n = _Joined(comp), len(node)
+            n_left = sum(1 for x in side if x == 0) if across else n
+            if n < 2 or joined.label.max() == 0:
+                continue
+            near = _agree(payload, *limits) if compare == "sig" else _alike(payload, *limits)
+            for i in range(n_left):
+                others = np.arange(n_left if across else i + 1, n)
+                others = others[joined.label[others] != joined.label[i]]
+                if len(others):
+                    for j in joined.join(i, near(i, others)):
+                        out_a.append(max(node[i], node[j]))
+                        out_b.append(min(node[i], node[j]))
+            if len(out_a) >= 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                out_a, out_b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def linked(members: DataFrame, payload: DataFrame, compare: str, limits: tuple, chunk: int, name: str) -> DataFrame:
+    """(a, b): links that join what ``compare`` finds alike within groups, a spanning forest of them.
+
+    ``members``: (g, node, size), size being the group's. ``payload``: (node, p).
+    """
+    cut = F.ceil(F.col("size") / chunk).cast("int")
+    rows = members.withColumn("chunks", cut).withColumn("own", F.pmod(F.xxhash64("node", "g"), F.col("chunks")).cast("int"))
+    whole = rows.join(payload, "node").select("g", "own", F.lit(0).alias("side"), "node", F.col("node").alias("comp"), "p")
+    whole = whole.repartition("g", "own").sortWithinPartitions("g", "own")
+    links = stored(whole.mapInArrow(_link_task(compare, limits, 2, False), "a long, b long"), name)
+    large = rows.where("chunks > 1")
+    if large.limit(1).count() == 0:
+        return links
+    comps = connected_components(links).select("node", F.col("root").alias("comp"))
+    large = stored(large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"{name}-large")
+    parts = large.groupBy("g", "comp").agg(F.count("*").alias("n"))
+    main = parts.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("g", F.col("m.comp").alias("main"))
+    large = large.join(main, "g").withColumn("outside", F.col("comp") != F.col("main"))
+    n_out = large.where("outside").groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("lefts"))
+    large = large.join(n_out, "g")
+    left = large.where("outside").select("g", F.pmod(F.xxhash64("node"), "lefts").cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("r"), F.lit(0).alias("side"), "node", "comp")
+    right = large.select("g", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.col("own").alias("r"), F.lit(1).alias("side"), "node", "comp")
+    pairs = left.union(right).join(payload, "node").select("g", "l", "r", "side", "node", "comp", "p").repartition("g", "l", "r").sortWithinPartitions("g", "l", "r")
+    return links.union(stored(pairs.mapInArrow(_link_task(compare, limits, 3, True), "a long, b long"), f"{name}-across"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -133,7 +201,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct()
         e = stored(small, "small")
@@ -146,38 +213,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
 
 
-def _across(members: DataFrame, comps: DataFrame, sigs: DataFrame, num: int, den: int, least: float, block: int = 512) -> DataFrame:
-    """Pairs of one bucket, of different components, whose sizes and signatures allow a link: compared in blocks."""
-    m = members.join(comps.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key", "size")
-    rows = stored(m.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "mixed")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # a member meets each block once; the pair of blocks is the group
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "n", "comp", "pivot").join(sigs.select("rep", "sig"), "rep")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].iat[0], pdf["y"].iat[0]
-        left, right = pdf[pdf["own"] == x], pdf[pdf["own"] == y]
-        out_a, out_b = [], []
-        if len(left) and len(right) and (left["comp"].nunique() > 1 or right["comp"].nunique() > 1 or left["comp"].iat[0] != right["comp"].iat[0]):
-            sig = np.frombuffer(b"".join(right["sig"]), "<u2").reshape(len(right), -1)
-            rn, rc, rr = right["n"].to_numpy(), right["comp"].to_numpy(), right["rep"].to_numpy()
-            for rep, n, comp, s, pivot in zip(left["rep"], left["n"], left["comp"], left["sig"], left["pivot"], strict=True):
-                ok = (rc != comp) & (den * np.minimum(rn, n) >= num * np.maximum(rn, n)) & (rep != pivot) & (rr != pivot)
-                if x == y:
-                    ok &= rr > rep
-                ok = np.flatnonzero(ok)
-                if len(ok):
-                    ok = ok[(sig[ok] == np.frombuffer(s, "<u2")).mean(axis=1) >= least]
-                    out_a += [max(rep, r) for r in rr[ok]]
-                    out_b += [min(rep, r) for r in rr[ok]]
-        return pd.DataFrame({"a": np.array(out_a, "int64"), "b": np.array(out_b, "int64")})
-
-    return rows.groupBy("key", "x", "y").applyInPandas(run, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, seed: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, seed: int = 20, chunk: int = 1000) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), a row per row of ``docs``.
 
     Documents link where ``den * |A & B| >= num * |A | B|`` on their word-shingle sets; a component's
@@ -189,20 +225,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     least = num / den - 0.15
     sketch = stored(sketches(docs, id_col, text_col, shingle_words, bands, rows, seed), "sketch")
-    reps = stored(sketch.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
+    reps = stored(sketch.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "reps")
     width = 2 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
-    banded = reps.select("rep", "n", F.explode(keys).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("key", "pivot")
-    members = stored(banded.join(buckets, "key"), "members")
-    star = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = stored(_confirmed(stored(_similar_signatures(star, reps, least), "star"), docs, id_col, text_col, shingle_words, num, den), "links")
-    comps = connected_components(links)
-    more = stored(_across(members, comps, reps, num, den, least), "across")
-    if more.limit(1).count():
-        links = links.union(_confirmed(more, docs, id_col, text_col, shingle_words, num, den))
-        comps = connected_components(links)
-    classes = reps.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
+    banded = reps.select("rep", F.explode(keys).alias("g"))
+    buckets = banded.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(banded.join(buckets, "g").select("g", F.col("rep").alias("node"), "size"), "members")
+    rough = linked(members, reps.select(F.col("rep").alias("node"), F.col("sig").alias("p")), "sig", (least,), chunk, "rough")
+    clusters = stored(connected_components(rough).select(F.col("root").alias("g"), "node"), "clusters")
+    clusters = clusters.join(clusters.groupBy("g").agg(F.count("*").alias("size")), "g")
+    sets = stored(shingle_sets(docs, clusters.select(F.col("node").alias("id")), id_col, text_col, shingle_words), "sets")
+    comps = connected_components(linked(clusters, sets, "set", (num, den), chunk // 2, "links")).withColumnRenamed("node", "rep")
+    classes = reps.select("digest", "rep").join(comps, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
     out = sketch.select("id", "n", "digest").join(classes, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, one of each component: that of the smallest id.
+
+    Rows that share an id are one document, of which one row stays. Rows with a null id stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    gone = stored(found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct(), "near-duplicates")
+    out = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    again = stored(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again"), "repeated-ids")
+    if again.limit(1).count():
+        same = F.col(id_col) == F.col("__again")
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col]))
+    return out
