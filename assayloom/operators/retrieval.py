@@ -1,0 +1,115 @@
+"""Ranking of an article's chunks: TF-IDF within the article, embeddings, section bonus, matched terms."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from assayloom.functions.exprs import compact_key
+
+# The query of each domain.
+DOMAIN_TERMS = {
+    "nanozymes": "nanozyme nanoparticle nanoparticles nanomaterial material formula particle size diameter nm TEM SEM zeta potential hydrodynamic size Km Vmax kcat catalytic activity peroxidase oxidase catalase SOD Michaelis Menten IC50 cytotoxicity cell viability assay",
+    "oxazolidinones": "oxazolidinone compound antibacterial antimicrobial MIC pMIC minimum inhibitory concentration ug ml microgram ml activity Staphylococcus Enterococcus Mycobacterium table assay",
+    "benzimidazoles": "benzimidazole compound antibacterial antimicrobial MIC pMIC minimum inhibitory concentration ug ml microgram ml activity Staphylococcus Enterococcus Mycobacterium table assay",
+}
+DEFAULT_TERMS = "compound material property value unit table assay activity concentration size diameter kinetics"
+# What a section's title adds to a score.
+SECTION_BONUS = {"results": 0.08, "results and discussion": 0.08, "discussion": 0.04, "experimental": 0.03, "experimental section": 0.03, "methods": 0.02, "materials and methods": 0.02}
+#: Tokens of the vector model, and of term matching.
+VECTOR_TOKEN = r"(?U)\b[\w./%-]{2,}\b"
+MATCH_TOKEN = r"[a-z0-9][a-z0-9./%-]*"
+
+
+def query_of(domain: Column) -> Column:
+    key = compact_key(domain)
+    out = F.lit(DEFAULT_TERMS)
+    for name, terms in DOMAIN_TERMS.items():
+        out = F.when(key == name, F.lit(terms)).otherwise(out)
+    return out
+
+
+def tokens(x: Column) -> Column:
+    return F.regexp_extract_all(F.lower(x), F.lit(MATCH_TOKEN), F.lit(0))
+
+
+def query_terms(x: Column) -> Column:
+    """Distinct tokens of two characters or more, in order."""
+    return F.array_distinct(F.filter(tokens(x), lambda t: F.length(t) >= 2))
+
+
+def matched_terms(query: Column, x: Column, most: int = 8) -> Column:
+    own = tokens(x)
+    return F.slice(F.filter(query_terms(query), lambda t: F.array_contains(own, t)), 1, most)
+
+
+def keyword_overlap(query: Column, x: Column) -> Column:
+    """The share of the query's tokens that a text has."""
+    q = F.array_distinct(tokens(query))
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(x))) / F.size(q)).otherwise(F.lit(0.0))
+
+
+def section_bonus(title: Column) -> Column:
+    t = F.lower(title)
+    return F.greatest(F.lit(0.0), *[F.when(F.contains(t, F.lit(k)), v).otherwise(0.0) for k, v in SECTION_BONUS.items()])
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """0 where sizes differ, an array is empty or a norm is 0 or not finite."""
+    na, nb, d = F.sqrt(dot(a, a)), F.sqrt(dot(b, b)), dot(a, b)
+    c = F.when((F.size(a) == F.size(b)) & (na > 0) & (nb > 0), d / (na * nb))
+    return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e300), c).otherwise(F.lit(0.0))
+
+
+def grams(x: Column) -> Column:
+    """Single tokens and pairs of neighbours of the vector model."""
+    t = F.regexp_extract_all(F.lower(x), F.lit(VECTOR_TOKEN), F.lit(0))
+    pairs = F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    return F.concat(t, pairs)
+
+
+def tfidf_scores(chunks: DataFrame, query: Column, article: str = "article_id", index: str = "index", text: str = "text") -> DataFrame:
+    """(article, index, tfidf): cosine of each chunk with the article's query, over that article and query alone.
+
+    Weights are counts times ln((1 + n) / (1 + df)) + 1, norms over all terms. Chunks meet only the
+    query's own terms, so the wide term table is reduced before the join.
+    """
+    docs = chunks.select(F.col(article).alias("a"), F.col(index).alias("i"), F.explode(grams(F.col(text))).alias("term"))
+    tf = docs.groupBy("a", "i", "term").agg(F.count("*").alias("tf"))
+    asked = chunks.groupBy(F.col(article).alias("a")).agg(F.count("*").alias("m"), F.first(query).alias("q"))
+    q = asked.select("a", "m", F.explode(grams(F.col("q"))).alias("term")).groupBy("a", "m", "term").agg(F.count("*").alias("qf"))
+    df = tf.groupBy("a", "term").agg(F.count("*").alias("df"))
+    both = df.join(q.select("a", "term", "qf"), ["a", "term"], "full_outer").join(asked.select("a", F.col("m").alias("n")), "a")
+    idf = F.log((F.lit(2.0) + F.col("n")) / (F.lit(1.0) + F.coalesce("df", F.lit(0)) + F.when(F.col("qf").isNotNull(), 1).otherwise(0))) + 1.0
+    both = both.withColumn("idf", idf)
+    qnorm = both.where("qf is not null").groupBy("a").agg(F.sqrt(F.sum(F.pow(F.col("qf") * F.col("idf"), 2))).alias("qn"))
+    w = tf.join(both.select("a", "term", "idf", "qf"), ["a", "term"])
+    per = w.groupBy("a", "i").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("cn"), F.sum(F.coalesce(F.col("qf"), F.lit(0)) * F.col("tf") * F.col("idf") * F.col("idf")).alias("d"))
+    scored = per.join(qnorm, "a", "left").withColumn("s", F.when((F.col("cn") > 0) & (F.col("qn") > 0), F.col("d") / (F.col("cn") * F.col("qn"))))
+    every = chunks.select(F.col(article).alias("a"), F.col(index).alias("i"))
+    return every.join(scored, ["a", "i"], "left").select(F.col("a").alias(article), F.col("i").alias(index), F.coalesce("s", F.lit(0.0)).alias("tfidf"))
+
+
+def blended(tfidf: Column, embedding: Column, weight: float = 0.65) -> Column:
+    w = min(1.0, max(0.0, weight))
+    return F.coalesce((1 - w) * tfidf + w * embedding, tfidf)
+
+
+def rank_chunks(chunks: DataFrame, query: Column, top_k: int = 3, article: str = "article_id", chunk_vector: str | None = None, query_vector: str | None = None, weight: float = 0.65) -> DataFrame:
+    """The ``top_k`` best chunks of each article with rank, scores rounded to 6 places, and matched terms.
+
+    With vector columns the mode is hybrid; a chunk without vectors falls back on TF-IDF.
+    """
+    hybrid = chunk_vector is not None and query_vector is not None
+    df = chunks.join(tfidf_scores(chunks, query, article), [article, "index"])
+    ok = F.col(chunk_vector).isNotNull() & F.col(query_vector).isNotNull() if hybrid else F.lit(False)
+    emb = F.when(ok, cosine(F.col(chunk_vector), F.col(query_vector))) if hybrid else F.lit(None).cast("double")
+    df = df.withColumn("embedding_score", emb).withColumn("matched_terms", matched_terms(query, F.col("text")))
+    score = blended(F.col("tfidf"), F.col("embedding_score"), weight) + section_bonus(F.col("section_title")) + F.least(F.lit(0.10), 0.01 * F.size("matched_terms"))
+    method = F.when(ok, "hybrid").otherwise("tfidf_fallback") if hybrid else F.lit("tfidf")
+    df = df.withColumn("raw", score).withColumn("rank", F.row_number().over(Window.partitionBy(article).orderBy(F.desc("raw"), "index"))).where(F.col("rank") <= max(top_k, 0))
+    return df.select(article, "index", "rank", F.round("raw", 6).alias("score"), "matched_terms", method.alias("retrieval_method"), F.round("tfidf", 6).alias("tfidf_score"), F.round("embedding_score", 6).alias("embedding_score"))
