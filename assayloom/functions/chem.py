@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assayloom.functions.exprs import contains_any, letters_key, text
+from assayloom.functions.exprs import contains_any, let, letters_key, text
 
 # The chemical elements by atomic number.
 ELEMENTS = (
@@ -32,15 +32,23 @@ def clean_formula(x: Column | str) -> Column:
 
 def formula_errors(x: Column | str) -> Column:
     """What is wrong with a formula, as texts; none for labels of supported catalysts with a known element."""
-    f = clean_formula(x)
     given = text(x)
-    found = F.regexp_extract_all(f, F.lit(TOKEN), F.lit(1))
-    counts = F.regexp_extract_all(f, F.lit(TOKEN), F.lit(2))
+    return let(clean_formula(x), lambda f: let(F.regexp_extract_all(f, F.lit(TOKEN), F.lit(1)), lambda found: _errors(f, found, given)))
+
+
+def checked_formula(x: Column | str) -> Column:
+    """The cleaned formula, or empty text where it is not valid."""
+    given = text(x)
+    return let(clean_formula(x), lambda f: let(F.regexp_extract_all(f, F.lit(TOKEN), F.lit(1)), lambda found: F.when(F.size(_errors(f, found, given)) == 0, f).otherwise(F.lit(""))))
+
+
+def _errors(f: Column, found: Column, given: Column) -> Column:
     known = F.array(*[F.lit(e) for e in ELEMENTS])
     unknown = F.transform(F.filter(found, lambda e: ~F.array_contains(known, e)), lambda e: F.concat(F.lit("unknown element '"), e, F.lit("' in formula '"), given, F.lit("'")))
+    counts = F.regexp_extract_all(f, F.lit(TOKEN), F.lit(2))
     zero = F.transform(F.filter(counts, lambda c: (c != "") & (c.try_cast("double") <= 0)), lambda c: F.concat(F.lit("non-positive element count '"), c, F.lit("' in formula '"), given, F.lit("'")))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(f, TOKEN, ""), r"\d+(?:\.\d+)?", ""), r"[()\[\]{}.,;:+\-_/@·*]", "")
-    left = F.when(rest != "", F.array(F.concat(F.lit("unparsed formula fragment '"), rest, F.lit("' in formula '"), given, F.lit("'")))).otherwise(F.array().cast("array<string>"))
+    left = let(rest, lambda r: F.when(r != "", F.array(F.concat(F.lit("unparsed formula fragment '"), r, F.lit("' in formula '"), given, F.lit("'")))).otherwise(F.array().cast("array<string>")))
     label = f.rlike(CATALYST) & F.exists(found, lambda e: F.array_contains(known, e))
     none = F.array().cast("array<string>")
     return F.when(f == "", F.array(F.lit("material_formula is empty"))).when(F.size(found) == 0, F.array(F.concat(F.lit("formula '"), given, F.lit("' has no elements")))).when(label, none).otherwise(F.concat(unknown, zero, left))

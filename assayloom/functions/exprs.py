@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # The characters Unicode counts as white space.
 SPACE = r"\s\x0B\x1C-\x1F\x85\xA0  -     　"
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Flags under which Java regular expressions read lines, case and classes as Unicode text wants.
 MULTI = "(?imdU)"
 
@@ -19,11 +20,11 @@ def col(x: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without white space at both ends, all that Unicode counts as such."""
-    return F.regexp_replace(col(x), rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(col(x), F.lit(SPACES))
 
 
 def rstrip(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), rf"[{SPACE}]+\z", "")
+    return F.rtrim(col(x), F.lit(SPACES))
 
 
 def text(x: Column | str) -> Column:

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.functions.chem import clean_formula, formula_errors
+from assayloom.functions.chem import checked_formula
 from assayloom.functions.exprs import falsy_default, flag_list, lookup, or_default, rounded_number, text
 
 # How much each kind of source counts.
@@ -108,11 +108,6 @@ def aggregate_molecules(rows: DataFrame, decimals: int = 3, tolerance: float = 1
     return pick_one(normalize_molecules(rows, decimals, order, smiles), keys, CLEAN, CONFLICTS, tolerance)
 
 
-def normal_formula(x: Column) -> Column:
-    """The cleaned formula, or empty text where it is not valid."""
-    return F.when(F.size(formula_errors(x)) == 0, clean_formula(x)).otherwise(F.lit(""))
-
-
 def normalize_nano(rows: DataFrame, decimals: int = 6, order: str = "_row_order") -> DataFrame:
     """All rows with normalised columns and ``usable``."""
     df = with_columns(rows, "normalized_formula", "material_formula", "formula", "property_name", "property", "value", "unit", "units", "material_name", "material", "assay", "condition", "material_id", "compound_id", "source_type", "article_id", "source_id", "chunk_index", "evidence", "reason", "validator")
@@ -121,7 +116,7 @@ def normalize_nano(rows: DataFrame, decimals: int = 6, order: str = "_row_order"
         falsy_default("material_name", "material").alias("material_name"), falsy_default("material_id", "compound_id").alias("material_id"), source_type("source_type", True).alias("source_type"), text("source_type").alias("raw_source"),
         *[text(c).alias(c) for c in ("assay", "condition", "article_id", "source_id", "chunk_index", "evidence", "reason", "validator")], F.col(order).alias("_row_order"),
     )
-    df = df.withColumn("normalized_formula", or_default(F.col("given"), normal_formula(F.col("raw_formula"))))
+    df = df.withColumn("normalized_formula", or_default(F.col("given"), checked_formula(F.col("raw_formula"))))
     return df.withColumn("usable", (F.col("normalized_formula") != "") & (F.col("property_name") != "") & (F.col("unit") != "") & F.col("value").isNotNull())
 
 

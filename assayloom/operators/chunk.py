@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.functions.exprs import MULTI, SPACE, last_index, letters_key, strip
+from assayloom.functions.exprs import MULTI, SPACE, last_index, let, letters_key, strip
 from assayloom.operators.text import line_ends
 
 # The headings that start a section, and the sections taken by default.
@@ -17,12 +17,15 @@ HEADING = rf"{MULTI}^(?:#{{1,6}}{_S}+|\d+(?:\.\d+)*\.?{_S}+)?({'|'.join(HEADINGS
 
 def sections_of(x: Column) -> Column:
     """An array of (title, body); text before the first heading is ``Preamble``, text without headings ``Document``."""
-    t = strip(line_ends(x))
+    return let(strip(line_ends(x)), _sections)
+
+
+def _sections(t: Column) -> Column:
     titles = F.transform(F.regexp_extract_all(t, F.lit(HEADING), F.lit(1)), lambda y: strip(F.regexp_replace(F.replace(y, F.lit("#"), F.lit("")), rf"[{SPACE}]+", " ")))
     bodies = F.transform(F.split(t, HEADING, -1), strip)
     named = F.zip_with(F.concat(F.array(F.lit("Preamble")), titles), bodies, lambda a, b: F.struct(a.alias("title"), b.alias("body")))
     whole = F.array(F.struct(F.lit("Document").alias("title"), t.alias("body")))
-    return F.filter(F.when(F.size(titles) > 0, named).otherwise(whole), lambda s: s["body"] != "")
+    return F.filter(F.when(t.rlike(HEADING), named).otherwise(whole), lambda s: s["body"] != "")
 
 
 def selected(title: Column, targets: list[str]) -> Column:
@@ -75,7 +78,7 @@ def chunk_articles(df: DataFrame, id_col: str, text_col: str, targets: list[str]
     t = F.coalesce(F.col(text_col), F.lit(""))
     chosen = F.filter(sections_of(t), lambda s: selected(s["title"], targets or TARGETS))
     whole = F.filter(F.array(F.struct(F.lit("Document").alias("title"), strip(t).alias("body"))), lambda s: s["body"] != "")
-    parts = df.select(F.col(id_col), F.when(F.size(chosen) > 0, chosen).otherwise(whole).alias("parts"))
+    parts = df.select(F.col(id_col), let(chosen, lambda c: F.when(F.size(c) > 0, c).otherwise(whole)).alias("parts"))
     parts = parts.select(id_col, F.posexplode("parts").alias("section", "s"))
     parts = parts.select(id_col, "section", F.col("s.title").alias("section_title"), strip(F.concat(F.lit("## "), "s.title", F.lit("\n\n"), "s.body")).alias("t"))
     cut = parts.select(id_col, "section", "section_title", F.posexplode(F.transform(bounds(F.col("t"), max_chars, overlap), lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"), strip(F.substring(F.col("t"), b["start"] + 1, b["stop"] - b["start"])).alias("text")))).alias("part", "b"))

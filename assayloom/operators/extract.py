@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.functions.chem import canonical_property, clean_formula, formula_errors, property_allowed, sanity_errors
-from assayloom.functions.exprs import strip, text
+from assayloom.functions.chem import canonical_property, checked_formula, clean_formula, formula_errors, property_allowed, sanity_errors
+from assayloom.functions.exprs import let, strip, text
 
 STRINGS = "array<string>"
 # The fields of a nano row and the keys that may stand for each.
@@ -50,24 +50,24 @@ def first_object(x: Column) -> Column:
         return F.when(s["end"] > 0, s).otherwise(moved)
 
     end = F.aggregate(F.filter(chars, lambda c: c != ""), zero, step, lambda s: s["end"])
-    return F.when((start > 0) & (end > 0), F.substring(x, start, end))
+    return F.when(start > 0, let(end, lambda e: F.when(e > 0, F.substring(x, start, e))))
 
 
 def payload(x: Column) -> Column:
     """A response as VARIANT: its text, or the first object in it; null where neither parses."""
-    t = unfenced(x)
-    return F.coalesce(F.try_parse_json(t), F.try_parse_json(first_object(t)))
+    return let(unfenced(x), lambda t: F.coalesce(F.try_parse_json(t), F.try_parse_json(first_object(t))))
 
 
 def envelope_rows(v: Column) -> Column:
     """The rows of a payload as an array of VARIANT: a list's items, a known field's, or the object alone."""
-    kind = F.schema_of_variant(v)
-    as_list = lambda x: F.try_variant_get(x, "$", "array<variant>")
+    return let(v, lambda p: let(F.schema_of_variant(p), lambda kind: _rows(p, kind)))
+
+
+def _rows(v: Column, kind: Column) -> Column:
     out = F.when(kind.startswith("OBJECT"), F.array(v))
     for name in reversed(ENVELOPES):
-        field = F.try_variant_get(v, f"$.{name}", "array<variant>")
-        out = F.when(field.isNotNull(), field).otherwise(out)
-    rows = F.when(kind.startswith("ARRAY"), as_list(v)).otherwise(out)
+        out = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), out)
+    rows = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(out)
     return F.filter(rows, lambda r: F.schema_of_variant(r).startswith("OBJECT"))
 
 
@@ -85,8 +85,8 @@ def numeric(x: Column) -> Column:
 
 def first_formula(name: Column) -> Column:
     """The first run in a name that reads as a valid formula."""
-    found = F.transform(F.regexp_extract_all(name, F.lit(FORMULA_IN_NAME), F.lit(0)), lambda c: clean_formula(c))
-    return F.coalesce(F.get(F.filter(found, lambda c: F.size(formula_errors(c)) == 0), F.lit(0)), F.lit(""))
+    found = F.transform(F.regexp_extract_all(name, F.lit(FORMULA_IN_NAME), F.lit(0)), lambda c: checked_formula(c))
+    return F.coalesce(F.get(F.filter(found, lambda c: c != ""), F.lit(0)), F.lit(""))
 
 
 def nano_row(row: Column) -> list[Column]:
