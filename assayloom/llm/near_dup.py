@@ -85,19 +85,25 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k:
 
 
 class _Joined:
-    """Union-find over positions 0 to n - 1, starting from given components."""
+    """Union-find over positions 0 to n - 1 that start in given components."""
 
-    def __init__(self, comps: list):
-        at: dict = {}
-        self.label = np.array([at.setdefault(c, len(at)) for c in comps], np.int64)
+    def __init__(self, comps: list[int]):
+        self.comps = np.array(comps, np.int64)
+        self.start, self.label = np.unique(self.comps, return_inverse=True)
+        self.least = self.start.copy()
 
-    def join(self, i: int, others: np.ndarray) -> list[int]:
-        """Join ``i`` with ``others``; the positions that were in other components, one of each."""
-        labels, first = np.unique(self.label[others], return_index=True)
-        fresh = labels != self.label[i]
-        if fresh.any():
-            self.label[np.isin(self.label, labels[fresh])] = self.label[i]
-        return others[first[fresh]].tolist()
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Join the components of ``others`` with that of ``i``."""
+        labels = np.unique(self.label[others])
+        into = self.label[i]
+        self.least[into] = min(self.least[into], self.least[labels].min(initial=self.least[into]))
+        self.label[np.isin(self.label, labels)] = into
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """(component, smallest component it has been joined with), for those that have changed."""
+        least = self.least[self.label]
+        moved = np.unique(np.column_stack([self.comps, least])[self.comps != least], axis=0)
+        return moved[:, 0], moved[:, 1]
 
 
 def _agree(payload: list[bytes], least: float) -> Callable[[int, np.ndarray], np.ndarray]:
@@ -131,86 +137,94 @@ def _alike(payload: list[bytes], num: int, den: int) -> Callable[[int, np.ndarra
 
 
 def _link_task(compare: str, limits: tuple, keys: int, across: bool) -> Callable:
-    """Links within each group of rows (keys..., side, node, comp, payload); ``across``: between sides only."""
+    """Joined components within each group of rows (keys..., side, node, comp, payload); ``across``: between sides only."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b = [], []
         for side, node, comp, payload in (g[keys:] for g in groups(it, keys)):
             order = sorted(range(len(node)), key=lambda k: (side[k], node[k]))
-            side, node, comp, payload = ([c[k] for k in order] for c in (side, node, comp, payload))
-            joined, n = _Joined(comp), len(node)
-            n_left = sum(1 for x in side if x == 0) if across else n
-            if n < 2 or joined.label.max() == 0:
+            side, comp, payload = ([c[k] for k in order] for c in (side, comp, payload))
+            joined, n = _Joined(comp), len(order)
+            n_left = side.count(0) if across else n
+            if n_left == 0 or len(joined.start) < 2:
                 continue
             near = _agree(payload, *limits) if compare == "sig" else _alike(payload, *limits)
             for i in range(n_left):
                 others = np.arange(n_left if across else i + 1, n)
                 others = others[joined.label[others] != joined.label[i]]
-                if len(others):
-                    for j in joined.join(i, near(i, others)):
-                        out_a.append(max(node[i], node[j]))
-                        out_b.append(min(node[i], node[j]))
-            if len(out_a) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-                out_a, out_b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                if len(others) and len(hits := near(i, others)):
+                    joined.join(i, hits)
+            a, b = joined.stars()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def linked(members: DataFrame, payload: DataFrame, compare: str, limits: tuple, chunk: int, name: str) -> DataFrame:
-    """(a, b): links that join what ``compare`` finds alike within groups, a spanning forest of them.
+    """(node, root): how components merge by what ``compare`` finds alike within groups; those that don't are absent.
 
-    ``members``: (g, node, size), size being the group's. ``payload``: (node, p).
+    ``members``: (g, node, comp, size), comp being a component's smallest node and size the group's.
+    ``payload``: (node, p).
     """
     cut = F.ceil(F.col("size") / chunk).cast("int")
     rows = members.withColumn("chunks", cut).withColumn("own", F.pmod(F.xxhash64("node", "g"), F.col("chunks")).cast("int"))
-    whole = rows.join(payload, "node").select("g", "own", F.lit(0).alias("side"), "node", F.col("node").alias("comp"), "p")
+    whole = rows.join(payload, "node").select("g", "own", F.lit(0).alias("side"), "node", "comp", "p")
     whole = whole.repartition("g", "own").sortWithinPartitions("g", "own")
-    links = stored(whole.mapInArrow(_link_task(compare, limits, 2, False), "a long, b long"), name)
+    merged = connected_components(whole.mapInArrow(_link_task(compare, limits, 2, False), "a long, b long"), name)
     large = rows.where("chunks > 1")
     if large.limit(1).count() == 0:
-        return links
-    comps = connected_components(links).select("node", F.col("root").alias("comp"))
-    large = stored(large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"{name}-large")
+        return merged
+    large = large.join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    large = stored(large, f"{name}-large")
     parts = large.groupBy("g", "comp").agg(F.count("*").alias("n"))
-    main = parts.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("g", F.col("m.comp").alias("main"))
-    large = large.join(main, "g").withColumn("outside", F.col("comp") != F.col("main"))
-    n_out = large.where("outside").groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("lefts"))
-    large = large.join(n_out, "g")
-    left = large.where("outside").select("g", F.pmod(F.xxhash64("node"), "lefts").cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("r"), F.lit(0).alias("side"), "node", "comp")
+    main = parts.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("k"), F.sum("n").alias("all")).where("k > 1")
+    main = main.select("g", F.col("m.comp").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / chunk).cast("int").alias("lefts"))
+    large = large.join(main, "g")
+    left = large.where("comp <> main").select("g", F.pmod(F.xxhash64("node"), "lefts").cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("r"), F.lit(0).alias("side"), "node", "comp")
     right = large.select("g", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.col("own").alias("r"), F.lit(1).alias("side"), "node", "comp")
     pairs = left.union(right).join(payload, "node").select("g", "l", "r", "side", "node", "comp", "p").repartition("g", "l", "r").sortWithinPartitions("g", "l", "r")
-    return links.union(stored(pairs.mapInArrow(_link_task(compare, limits, 3, True), "a long, b long"), f"{name}-across"))
+    return composed(merged, connected_components(pairs.mapInArrow(_link_task(compare, limits, 3, True), "a long, b long"), f"{name}-across"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node in ``edges`` (a, b), root being the component's smallest node.
+def composed(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(node, root) of two mergers, the second over the roots of the first."""
+    later = then.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
+    return first.join(later, F.col("root") == F.col("n2"), "full_outer").select(F.coalesce("node", "n2").alias("node"), F.coalesce("r2", "root").alias("root"))
+
+
+def rough_clusters(members: DataFrame, sigs: DataFrame, least: float, chunk: int, first_bands: int) -> DataFrame:
+    """(node, root): the components of what signatures link within buckets.
 
-    Alternating large-star and small-star (Kiveris et al., 2014). A node's smallest neighbour is found
-    by partial aggregation and joined back, so a hub's edges stay spread; nothing is collected but a
-    count and a checksum.
+    The first bands join most of a group of near copies; of the others only buckets that still hold
+    several components are looked at, so a group of n gives some n links, not n for every band.
     """
+    one = members.where(F.col("band") < first_bands).withColumn("comp", F.col("node"))
+    comps = stored(linked(one.select("g", "node", "comp", "size"), sigs, "sig", (least,), chunk, "rough-first"), "rough-components")
+    rest = members.where(F.col("band") >= first_bands).join(comps.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rest = stored(rest.select("g", "node", "comp", "size"), "rest")
+    mixed = rest.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
+    return composed(comps, linked(stored(rest.join(mixed, "g"), "mixed"), sigs, "sig", (least,), chunk, "rough-rest"))
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = mark(e)
+def connected_components(edges: DataFrame, name: str = "edges", max_rounds: int = 60) -> DataFrame:
+    """(node, root) of every node in ``edges`` (a, b), root being the component's smallest node.
+
+    Alternating large-star and small-star (Kiveris et al., 2014) until every node points at a root. A
+    node's smallest neighbour is found by partial aggregation and joined back, so a hub's edges stay
+    spread; nothing is collected but whether any node is left over.
+    """
+    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     for _ in range(max_rounds):
+        places = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("p")).select("p.*")
+        unsettled = places.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
+        if unsettled.limit(1).count() == 0:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct()
-        e = stored(small, "small")
-        now = mark(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+        e = stored(small, name)
+    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, seed: int = 20, chunk: int = 1000) -> DataFrame:
@@ -228,14 +242,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stored(sketch.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "reps")
     width = 2 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
-    banded = reps.select("rep", F.explode(keys).alias("g"))
+    banded = reps.select("rep", F.posexplode(keys).alias("band", "g"))
     buckets = banded.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(banded.join(buckets, "g").select("g", F.col("rep").alias("node"), "size"), "members")
-    rough = linked(members, reps.select(F.col("rep").alias("node"), F.col("sig").alias("p")), "sig", (least,), chunk, "rough")
-    clusters = stored(connected_components(rough).select(F.col("root").alias("g"), "node"), "clusters")
-    clusters = clusters.join(clusters.groupBy("g").agg(F.count("*").alias("size")), "g")
+    members = stored(banded.join(buckets, "g").select("g", "band", F.col("rep").alias("node"), "size"), "members")
+    sigs = reps.select(F.col("rep").alias("node"), F.col("sig").alias("p"))
+    clusters = stored(rough_clusters(members, sigs, least, chunk, max(1, bands // 10)).select("node", F.col("root").alias("g")), "clusters")
+    clusters = clusters.withColumn("comp", F.col("node")).join(clusters.groupBy("g").agg(F.count("*").alias("size")), "g")
     sets = stored(shingle_sets(docs, clusters.select(F.col("node").alias("id")), id_col, text_col, shingle_words), "sets")
-    comps = connected_components(linked(clusters, sets, "set", (num, den), chunk // 2, "links")).withColumnRenamed("node", "rep")
+    comps = linked(clusters, sets, "set", (num, den), chunk // 2, "links").withColumnRenamed("node", "rep")
     classes = reps.select("digest", "rep").join(comps, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
     out = sketch.select("id", "n", "digest").join(classes, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
