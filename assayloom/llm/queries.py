@@ -75,7 +75,7 @@ def op10_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+    return warc_round_trip(table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -91,4 +91,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_counterfactual": op10_counterfactual,
 }
 
-SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: All pairs by shared shingles, then the transitive closure of the links.
+_OP4 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * k >= 80 * (na + nb - k) UNION ALL SELECT b, a FROM p WHERE 100 * k >= 80 * (na + nb - k)),
+c AS (SELECT DISTINCT a AS node, a AS seen FROM l UNION SELECT c.node, l.b FROM c JOIN l ON c.seen = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, coalesce(m.root, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN (SELECT node, min(seen) AS root FROM c GROUP BY node) m ON m.node = s.doc_id"""
+
+#: Base 32 is 5 bits a letter: 5 hex digits of the SHA-1 are 4 letters.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {shift}) & 31) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0))
+_OP8 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f"""
+
+
+def _op7() -> str:
+    """The budget tree level by level, eight rounds of sharing in each, then the epochs and the prefix of the last."""
+    parts = ["d AS (SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' ELSE 'curated' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, lang AS lang0, source AS source0, CAST(ceil(strlen(coalesce(text, '')) / 4) AS BIGINT) AS n FROM documents)"]
+    parts.append("leaves AS (SELECT domain, lang, source, sum(n) AS tokens FROM d GROUP BY ALL)")
+    levels = ["domain", "lang", "source"]
+    for depth in range(1, 4):
+        own, parent = ", ".join(levels[:depth]), ", ".join(levels[: depth - 1])
+        named = MIX_WEIGHTS.get(levels[depth - 1])
+        weight = "CASE " + " ".join(f"WHEN {levels[depth - 1]} = '{k}' THEN {float(v)}" for k, v in named.items()) + " ELSE 1.0 END" if named else "CAST(sum(tokens) AS DOUBLE)"
+        budget = "sum(CAST(tokens AS DOUBLE)) OVER ()" if depth == 1 else "b.budget"
+        join = "" if depth == 1 else f" JOIN (SELECT {parent}, budget FROM b{depth - 1}) b USING ({parent})"
+        parts.append(f"n{depth} AS (SELECT {own}, CAST(sum(tokens) AS DOUBLE) * 2.0 AS capacity, sum(tokens) AS tokens, {weight} AS weight FROM leaves GROUP BY {own})")
+        parts.append(f"s{depth}_0 AS (SELECT {own}, capacity, tokens, weight, {budget} AS budget, CAST(0 AS DOUBLE) AS give FROM n{depth}{join})")
+        over = f"OVER (PARTITION BY {parent})" if parent else "OVER ()"
+        for i in range(1, 9):
+            opened = "CASE WHEN give < capacity * (1 - 1e-12) THEN weight ELSE 0 END"
+            parts.append(f"s{depth}_{i} AS (SELECT * EXCLUDE (spare, opened, total) REPLACE (least(capacity, give + CASE WHEN total > 0 THEN greatest(spare, 0) * opened / total ELSE 0 END) AS give) FROM (SELECT *, budget - sum(give) {over} AS spare, {opened} AS opened, sum({opened}) {over} AS total FROM s{depth}_{i - 1}))")
+        parts.append(f"b{depth} AS (SELECT {own}, tokens, give AS budget FROM s{depth}_8)")
+    parts.append("w AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(budget / tokens * (1 + 1e-12)) AS BIGINT) ELSE 0 END AS whole FROM b3)")
+    parts.append("k AS (SELECT d.*, whole, greatest(budget - whole * tokens, 0) AS rest, CAST('0x' || substr(md5('7:' || whole || ':' || doc_id), 1, 15) AS BIGINT) AS key FROM d JOIN w USING (domain, lang, source))")
+    parts.append("r AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE UNBOUNDED PRECEDING) AS run FROM k)")
+    return "WITH " + ", ".join(parts) + " SELECT doc_id, domain, lang0 AS lang, source0 AS source, n AS n_tokens, CAST(e AS INTEGER) AS mix_epoch FROM r, range(0, 5) AS t(e) WHERE e < whole + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END"
+
+
+SQL: dict[str, str] = {"op4_minhash": _OP4, "op7_hierarchical_mix": _op7(), "op8_warc_index": _OP8}
