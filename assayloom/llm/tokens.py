@@ -220,7 +220,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     and are written as the smallest long. Rows that share an id follow each other by text hash.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "t")
+    rows = rows.repartitionByRange("id").withColumn("h", F.xxhash64("t")).sortWithinPartitions("id", "h").select("id", "t")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, files, code = TaskContext.get().partitionId(), 0, coder(tokenizer_path)
