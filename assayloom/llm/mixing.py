@@ -21,37 +21,54 @@ def token_count(text_col: str = "text") -> Column:
     return F.ceil(F.coalesce(F.octet_length(text_col), F.lit(0)) / 4).cast("long")
 
 
-def _share(df: DataFrame, parent: list[str], rounds: int) -> DataFrame:
-    """Deal each parent's ``budget`` to its children by ``weight``, none beyond its ``capacity``; adds ``give``.
+def _share(df: DataFrame, parent: list[str | Column]) -> DataFrame:
+    """Deal each parent's ``budget`` to its children by ``weight``, each between its ``floor`` and ``capacity``; adds ``give``.
 
-    Every round deals what is left among children that have room; one that fills up stays filled, so
-    ``rounds`` of the number of children settle it, and few are needed otherwise.
+    A child gets its weight times a level, but no less than its floor and no more than its capacity. What the
+    children get together grows with the level and bends only where one leaves its floor or fills up: running
+    sums over these points, two for a child, say between which two the budget lies. Nothing is left undealt
+    unless every child with a weight is full. A budget under the floors gives the floors.
     """
     w = Window.partitionBy(*parent)
-    df = df.withColumn("give", F.lit(0.0))
-    for _ in range(rounds):
-        room = F.when(F.col("give") < F.col("capacity") * (1 - 1e-12), F.col("weight")).otherwise(F.lit(0.0))
-        df = df.withColumn("left", F.col("budget") - F.sum("give").over(w)).withColumn("open", room)
-        df = df.withColumn("all_open", F.sum("open").over(w))
-        add = F.when(F.col("all_open") > 0, F.greatest(F.col("left"), F.lit(0.0)) * F.col("open") / F.col("all_open")).otherwise(F.lit(0.0))
-        df = df.withColumn("give", F.least(F.col("capacity"), F.col("give") + add)).drop("left", "open", "all_open")
-    return df
+    upto = w.orderBy("level").rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
+    def point(at: str, sign: int) -> Column:
+        of = lambda x: F.when(F.col("weight") > 0, x).otherwise(F.lit(0.0))
+        return F.struct(F.lit(sign > 0).alias("leaves"), of(F.col(at) / F.nullif("weight", F.lit(0.0))).alias("level"), of(F.col("weight") * sign).alias("turn"), of(F.col(at) * sign).alias("jump"))
 
-def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total: float | None = None, total_share: float = 1.0, max_epochs: float = 2.0, levels: list[str] = LEVELS, rounds: int = 8) -> DataFrame:
+    df = df.withColumn("weight", F.col("weight").cast("double")).withColumn("point", F.explode(F.array(point("floor", 1), point("capacity", -1)))).select("*", "point.*").drop("point")
+    df = df.withColumn("slope", F.sum("turn").over(upto)).withColumn("base", F.sum(F.when(F.col("leaves"), F.col("floor"))).over(w) - F.sum("jump").over(upto))
+    df = df.withColumn("dealt", F.col("base") + F.col("level") * F.col("slope"))
+    df = df.withColumn("last", F.max(F.when(F.col("dealt") <= F.col("budget"), F.struct("level", "dealt", "slope"))).over(w))
+    df = df.withColumn("next", F.min(F.when(F.col("level") > F.col("last.level"), F.col("level"))).over(w))
+    rise = F.when(F.col("last.slope") > 0, (F.col("budget") - F.col("last.dealt")) / F.nullif(F.col("last.slope"), F.lit(0.0))).otherwise(F.lit(0.0))
+    level = F.coalesce(F.least(F.col("last.level") + rise, F.col("next")), F.lit(0.0))
+    full = (F.col("weight") > 0) & (level * F.col("weight") >= F.col("capacity") * (1 - 1e-12))
+    df = df.withColumn("give", F.when(full, F.col("capacity")).otherwise(F.greatest(F.col("floor"), level * F.col("weight"))))
+    return df.where("leaves").drop("leaves", "level", "turn", "jump", "slope", "base", "dealt", "last", "next")
+
+
+def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total: float | None = None, total_share: float = 1.0, max_epochs: float = 2.0, levels: list[str] = LEVELS, least_epochs: float = 0.0) -> DataFrame:
     """(levels, tokens, budget) of every leaf.
 
     ``leaves`` has the level columns and ``tokens``. ``weights`` gives a level's nodes theirs by value
     (nodes it doesn't name: 1); nodes of a level without weights weigh what tokens they have. The total
-    is ``total``, or ``total_share`` of all tokens. Each level is settled from the top down against the capacities of
+    is ``total``, or ``total_share`` of all tokens. Every leaf keeps ``least_epochs`` times its tokens whatever the
+    weights (the total is raised to what that takes), so they steer only what is beyond; a leaf under a named
+    weight of 0 keeps and gives nothing. Each level is settled from the top down against the capacities of
     whole subtrees, which hands a shortage to siblings before it leaves the parent.
     """
-    leaves = leaves.withColumn("capacity", F.col("tokens") * F.lit(float(max_epochs)))
+    asked = F.lit(True)
+    for lv in levels:
+        for value in (v for v, x in weights.get(lv, {}).items() if x <= 0):
+            asked = asked & (F.col(lv) != value)
+    most = F.when(asked, F.col("tokens")).otherwise(F.lit(0))
+    leaves = leaves.withColumn("capacity", most * F.lit(float(max_epochs))).withColumn("floor", most * F.lit(float(min(least_epochs, max_epochs))))
     top = F.lit(float(total)) if total is not None else F.sum(F.col("tokens").cast("double")).over(Window.partitionBy(F.lit(1))) * total_share
     given = None
     for depth in range(1, len(levels) + 1):
         own, parent = levels[:depth], levels[: depth - 1]
-        nodes = leaves.groupBy(*own).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
+        nodes = leaves.groupBy(*own).agg(F.sum("capacity").alias("capacity"), F.sum("floor").alias("floor"), F.sum("tokens").alias("tokens"))
         weight = F.col("tokens").cast("double")
         if named := weights.get(own[-1]):
             weight = F.lit(1.0)
@@ -59,7 +76,7 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total: floa
                 weight = F.when(F.col(own[-1]) == value, F.lit(float(x))).otherwise(weight)
         nodes = nodes.withColumn("weight", weight)
         nodes = nodes.withColumn("budget", top) if given is None else nodes.join(given, parent)
-        dealt = _share(nodes, parent or [F.lit(1)], rounds)
+        dealt = _share(nodes, parent or [F.lit(1)])
         given = stored(dealt.select(*own, F.col("give").alias("budget"), "tokens"), "budgets")
         if depth < len(levels):
             given = given.drop("tokens")
@@ -72,12 +89,13 @@ def order_key(id_col: Column, epoch: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column | None = None, total: float | None = None, total_share: float = 1.0, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", bucket_bits: int = 12) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column | None = None, total: float | None = None, total_share: float = 1.0, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", bucket_bits: int = 12, least_epochs: float = 0.0) -> DataFrame:
     """``docs``, each row once for every epoch that takes it, with ``mix_epoch`` (from 0).
 
     A leaf's budget of b tokens out of t takes floor(b / t) whole epochs and, of the next, the longest
     prefix within what is left; documents whose keys tie go together. Null level values are the level
-    "". Documents without tokens go where the cut falls. Weights of 0 give a node nothing.
+    "". Documents without tokens go where the cut falls. Weights of 0 give a node nothing. With ``least_epochs`` of
+    1 each document of the others is taken at least once.
 
     No leaf is ordered in one place: tokens are summed by leaf and the key's first ``bucket_bits`` bits,
     running sums over these find the bucket in which a leaf's cut falls, and only rows of such
@@ -91,7 +109,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column |
     keys = list(names.values())
     narrow = tagged.select(*[F.col(k).alias(lv) for lv, k in names.items()], F.col(id_col).alias("id"), token_count(text_col).alias("n"))
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
-    b = budgets(stored(leaves, "leaves"), weights, total, total_share, max_epochs)
+    b = budgets(stored(leaves, "leaves"), weights, total, total_share, max_epochs, least_epochs=least_epochs)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") * (1 + 1e-12))).otherwise(F.lit(0)).cast("int")
     b = stored(b.withColumn("whole", whole).withColumn("rest", F.greatest(F.col("budget") - F.col("whole") * F.col("tokens"), F.lit(0.0))).select(*LEVELS, "whole", "rest"), "leaf-budgets")
     # the cut of the last, partial epoch

@@ -12,9 +12,11 @@ from assayloom.llm.near_dup import without_near_duplicates
 from assayloom.llm.sharding import assign_shards, build_map, load_map, save_map, slot_sizes
 from assayloom.llm.toxicity import fit_toxicity, without_toxic
 
-#: Shares of the mixture. The budget is a quarter over what there is, so scarce languages repeat and none is cut.
+#: Target shares of the mixture, and its tokens as a share of what there is. They steer only repeats: each leaf keeps
+#: LEAST_EPOCHS of its measured tokens on any mix of languages, and the budget grows if that takes more.
 WEIGHTS = {"lang": {"en": 0.58, "de": 0.16, "fr": 0.16, "es": 0.10}}
 BUDGET_SHARE = 1.25
+LEAST_EPOCHS = 1.0
 N_SHARDS = 16
 
 
@@ -35,8 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the budgets of their language and source, once for every epoch that takes them."""
-    return mix(docs, WEIGHTS, total_share=BUDGET_SHARE).drop("mix_epoch")
+    """Every document once, and again for each further epoch that the budgets of its language and source take it."""
+    return mix(docs, WEIGHTS, total_share=BUDGET_SHARE, least_epochs=LEAST_EPOCHS).drop("mix_epoch")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,18 @@ def test_stages(spark):
     assert not [r["doc_id"] for r in seen["decontamination"] if any(i in f" {words(r['text'])} " for i in items)]
     assert len(ids["mixing"]) >= 0.95 * len(ids["decontamination"])
     assert {r["shard"] for r in seen["sharding"]} == set(range(pipeline.N_SHARDS))
+
+
+def test_mixing_cuts_no_document_whatever_the_languages(spark):
+    from pyspark.sql import functions as F
+
+    from assayloom.llm.mixing import token_count
+
+    for shares in ({"en": 25, "de": 25, "fr": 25, "es": 25}, {"en": 40, "de": 11, "fr": 10, "es": 39}, {"en": 40, "de": 44, "fr": 10, "es": 6}, {"de": 90, "it": 10}):
+        rows = [(f"{lang}{i}", f"word{i:04d} " * 20, lang, f"src{i % 3}") for lang, n in shares.items() for i in range(4 * n)]
+        docs = spark.createDataFrame([*rows, ("none", None, "en", "src0")], "doc_id string, text string, lang string, source string")
+        got = pipeline.mixing(spark, docs, SF).select("doc_id", token_count().alias("n"))
+        tokens = docs.agg(F.sum(token_count())).first()[0]
+        times = {r.doc_id: (r["count"], r.n) for r in got.groupBy("doc_id").agg(F.count("*").alias("count"), F.first("n").alias("n")).collect()}
+        assert {r[0] for r in rows} <= set(times) and max(k for k, _ in times.values()) <= 2
+        assert abs(sum(k * n for k, n in times.values()) - pipeline.BUDGET_SHARE * tokens) < 0.03 * tokens
