@@ -26,6 +26,11 @@ PATTERNS = {
 }
 #: What a candidate looks like: a run with a digit or an @ in it.
 CANDIDATE = r"(?<![^\x20\x09-\x0D,;()<>\"])[A-Za-z0-9._%+()-]*[0-9@][A-Za-z0-9._%+@()-]*"
+#: A number written in spaced or bracketed groups, of as many digits as the kind has at most, then the rest of its last
+#: token. A full stop before a space ends it.
+_GROUPS = r"(?<![^\x20\x09-\x0D,;<>\"])[+(]*+[0-9](?:(?:(?!\.\x20)[\x20().-]){0,4}+[0-9]){0,%d}(?![0-9])[A-Za-z0-9._%%+@()-]*+"
+#: Kinds whose candidates are such groups, where there are any; the other kinds' are tokens.
+GROUPED = {KINDS.index("card"): _GROUPS % 18, KINDS.index("phone"): _GROUPS % 14}
 SPAN = "array<struct<start:int,stop:int,value:string>>"
 
 
@@ -81,6 +86,10 @@ def _is(i: int) -> Callable[[Column], Column]:
     return lambda x: x["kind_no"] == i
 
 
+def _constant(n: int) -> Callable[[Column], Column]:
+    return lambda x: F.lit(n)
+
+
 def base_spans(text: Column) -> Column:
     """All base spans as structs (start, kind_no, stop, value), sorted."""
     found = []
@@ -96,40 +105,63 @@ def context(text: Column, start: Column, words: int, reach: int = 60) -> Column:
     return F.lower(F.regexp_extract(before, r"((?:[^\x20\n\t]+\x20+){%d})$" % words, 1))
 
 
+def _within(xs: Column, x: Column) -> Column:
+    return F.exists(xs, lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"]))
+
+
+def grouped(text: Column, kind_no: int, base: Column) -> Column:
+    """Candidates of several groups for a kind; one that runs into a base span ends before it."""
+
+    def cut(x: Column) -> Column:
+        at = F.array_min(F.transform(F.filter(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])), lambda b: b["start"]))
+        value = F.when(at.isNull(), x["value"]).otherwise(F.regexp_replace(F.substring(x["value"], F.lit(1), F.greatest(at - x["start"], F.lit(0))), r"[^0-9A-Za-z)]+$", ""))
+        return F.struct(x["start"].alias("start"), (x["start"] + F.length(value)).cast("int").alias("stop"), value.alias("value"))
+
+    several = lambda x: F.contains(x["value"], F.lit(" "))
+    found = F.filter(matches(text, GROUPED[kind_no], text.rlike(r"[0-9][().-]*\x20[\x20().-]*[0-9]")), several)
+    return F.filter(F.transform(found, cut), several)
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, context_words: int = 2, least_support: int = 3, least_pattern: float = 0.5, least_score: float = 0.5) -> DataFrame:
     """(id_col, n_email, n_ip, n_card, n_phone, base, extra), a row per row; spans as arrays of structs.
 
     ``n_*`` count base spans. ``extra`` are the bootstrap's, none of which overlaps a base span of its
-    kind. A pattern counts only with ``least_support`` distinct seeds and a score of ``least_pattern``. Null texts are empty. Rows that
+    kind. Candidates of a kind are tokens, and for cards and phones the spaced groups of a number as
+    one; where a token and such a number start alike, the better score counts, then the longer. A pattern counts only with ``least_support`` distinct seeds and a score of ``least_pattern``. Null texts are empty. Rows that
     share an id and a text share their spans.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t")).withColumn("base", base_spans(F.col("t")))
     other = matches(F.col("t"), CANDIDATE, F.col("t").rlike("[0-9@]"))
-    other = F.filter(other, lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    with_context = lambda xs, kind: F.transform(xs, lambda x: F.struct(kind(x).alias("kind_no"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), context(F.col("t"), x["start"], context_words).alias("ctx")))
-    rows = rows.withColumn("other", other)
-    seen = F.concat(with_context(F.col("base"), lambda x: x["kind_no"]), with_context(F.col("other"), lambda x: F.lit(None).cast("int")))
+    rows = rows.withColumns({"other": F.filter(other, lambda c: ~_within(F.col("base"), c)), **{f"many{k}": grouped(F.col("t"), k, F.col("base")) for k in GROUPED}})
+    # "fits" has a bit for each kind that a value can be of
+    every = (1 << len(KINDS)) - 1
+    single = lambda x: F.lit(every) - sum((F.when(_within(F.col(f"many{k}"), x), 1 << k).otherwise(0) for k in GROUPED), F.lit(0))
+    with_context = lambda xs, kind, fits: F.transform(xs, lambda x: F.struct(kind(x).alias("kind_no"), fits(x).cast("int").alias("fits"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), context(F.col("t"), x["start"], context_words).alias("ctx")))
+    unknown = lambda x: F.lit(None).cast("int")
+    seen = F.concat(with_context(F.col("base"), lambda x: x["kind_no"], lambda x: F.lit(every)), with_context(F.col("other"), unknown, single), *[with_context(F.col(f"many{k}"), unknown, _constant(1 << k)) for k in GROUPED])
     table = stored(rows.select("id", "h", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind_no"].alias("kind_no"), b["stop"].alias("stop"))).alias("base"), F.filter(seen, lambda x: x["ctx"] != "").alias("seen")), "spans")
 
-    uses = stored(table.select(F.explode("seen").alias("x")).select("x.ctx", "x.value", "x.kind_no").distinct(), "uses")
+    uses = stored(table.select(F.explode("seen").alias("x")).select("x.ctx", "x.value", "x.kind_no", "x.fits").distinct(), "uses")
+    pairs = stored(uses.groupBy("ctx", "value").agg(F.bit_or("fits").alias("fits"), F.coalesce(F.bit_or(F.when(F.col("kind_no").isNull(), F.col("fits"))), F.lit(0)).alias("free")), "pairs")
+    can_be = lambda c: F.col(c).bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("kind_no"))) > 0
     seeds = uses.where("kind_no is not null").select("value", "kind_no").distinct().withColumn("score", F.lit(1.0))
-    sizes = uses.groupBy("ctx").agg(F.countDistinct("value").alias("n"))
     support = uses.where("kind_no is not null").groupBy("ctx", "kind_no").agg(F.countDistinct("value").alias("support")).where(F.col("support") >= least_support)
-    support = stored(support.join(sizes, "ctx"), "pattern-support")
+    sizes = support.select("ctx", "kind_no").join(pairs, "ctx").where(can_be("fits")).groupBy("ctx", "kind_no").agg(F.count("*").alias("n"))
+    support = stored(support.join(sizes, ["ctx", "kind_no"]), "pattern-support")
     known, patterns = seeds, None
     for _ in range(rounds):
-        good = uses.select("ctx", "value").distinct().join(known, "value").groupBy("ctx", "kind_no").agg(F.sum("score").alias("sum"))
+        good = pairs.join(known, "value").where(can_be("fits")).groupBy("ctx", "kind_no").agg(F.sum("score").alias("sum"))
         patterns = stored(support.join(good, ["ctx", "kind_no"]).select("ctx", "kind_no", (F.col("sum") / (F.col("n") + 1)).alias("p")), "patterns")
-        brought = uses.where("kind_no is null").select("ctx", "value").distinct().join(patterns, "ctx")
+        brought = pairs.where("free > 0").join(patterns, "ctx").where(can_be("free"))
         score = F.lit(1.0) - F.exp(F.sum(F.log(F.greatest(F.lit(1.0) - F.col("p"), F.lit(1e-9)))))
         known = stored(seeds.unionByName(brought.groupBy("value", "kind_no").agg(score.alias("score")).join(seeds.select("value", "kind_no"), ["value", "kind_no"], "left_anti")), "instances")
     good = patterns.where(F.col("p") >= least_pattern)
     taken = known.where(F.col("score") >= least_score).select("value", "kind_no", "score")
-    hits = table.select("id", "h", F.explode("seen").alias("x")).where("x.kind_no is null").select("id", "h", "x.start", "x.stop", "x.value", "x.ctx")
-    hits = hits.join(good, "ctx").join(taken, ["value", "kind_no"])
-    best = hits.groupBy("id", "h", "start", "stop").agg(F.max(F.struct("score", (-F.col("kind_no")).alias("k"))).alias("b"))
-    extra = best.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("b.k")).alias("kind_no"), "stop"))).alias("extra"))
+    hits = table.select("id", "h", F.explode("seen").alias("x")).where("x.kind_no is null").select("id", "h", "x.start", "x.stop", "x.value", "x.ctx", "x.fits")
+    hits = hits.join(good, "ctx").where(can_be("fits")).join(taken, ["value", "kind_no"])
+    best = hits.groupBy("id", "h", "start").agg(F.max(F.struct("score", "stop", (-F.col("kind_no")).alias("k"))).alias("b"))
+    extra = best.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("b.k")).alias("kind_no"), F.col("b.stop").alias("stop")))).alias("extra"))
     extra = stored(extra, "extra").select(F.col("id").alias("eid"), F.col("h").alias("eh"), "extra")
     out = table.join(extra, F.col("id").eqNullSafe(F.col("eid")) & (F.col("h") == F.col("eh")), "left")
     counts = [F.size(F.filter("base", _is(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]

@@ -335,6 +335,17 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[0] == clean[6] == "please call me at [PHONE] now" and clean[9] == ""
 
 
+def test_contexts_find_spaced_and_bracketed_identifiers(spark):
+    numbers = ["415 555 7788", "(415) 555-7788", "415 - 555 - 7788", "415-555 7788x12"]
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881"]
+    texts = [f"please call me at +1 (415) 555-260{i} now" for i in range(12)] + [f"please call me at {x} now" for x in numbers]
+    texts += [f"paid by card {x} today" for x in [*cards, *cards, "4111 1111 1111 1112"]] + ["please call me at 415 555 7788. 12 apples", "please call me at 415 555 7786 10.0.0.1 up"]
+    clean = [r.text for r in pii.redact(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert clean[:16] == ["please call me at [PHONE] now"] * 16
+    assert clean[16:23] == ["paid by card [CARD] today"] * 7
+    assert clean[23:] == ["please call me at [PHONE] 12 apples", "please call me at [PHONE] [IP] up"]
+
+
 # mixing
 
 
