@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayloom.operators import lineage as L
 from assayloom.operators import retrieval as R
-from assayloom.plans.registry import query, table
+from assayloom.plans.registry import SQL, query, table
 
 ASKED = "the of and der que les con table size nm activity"
 _MATCH = "regexp_extract_all(lower(text), '[a-z0-9][a-z0-9./%-]*')"
@@ -69,6 +69,28 @@ def rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rank_chunks(english_chunks(spark, sf_dir), F.lit(ASKED), 3).select("article_id", "index", "rank", "score")
 
 
+def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the chunks of their source, whatever their language; null sources are one, ""."""
+    d = table(spark, sf_dir, "documents")
+    title = F.when(F.col("doc_id") % 5 == 0, "Results").when(F.col("doc_id") % 5 == 1, "Materials and Methods").otherwise("Conclusion")
+    return d.select(F.coalesce("source", F.lit("")).alias("article_id"), F.col("doc_id").alias("index"), title.alias("section_title"), "text")
+
+
+_LATIN, _ANY = "a-zà-öø-ÿ0-9_", r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+_TFIDF_ALL = _TFIDF.replace(_LATIN, _ANY).replace("source AS a", "coalesce(source, '') AS a").replace(" FROM documents WHERE lang = 'en'", " FROM documents")
+
+
+@query(SQL["tfidf_scores"].replace(_TFIDF, _TFIDF_ALL))
+def tfidf_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = R.tfidf_scores(source_chunks(spark, sf_dir), F.lit(ASKED))
+    return s.select("article_id", "index", F.round("tfidf", 6).alias("tfidf"))
+
+
+@query(SQL["rank_topk"].replace(_TFIDF, _TFIDF_ALL))
+def rank_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rank_chunks(source_chunks(spark, sf_dir), F.lit(ASKED), 3).select("article_id", "index", "rank", "score")
+
+
 _ZERO = "(SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM embeddings WHERE vec_id = 0)"
 
 

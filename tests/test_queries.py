@@ -47,3 +47,10 @@ def test_same_rows(spark, duck, name):
     want = sorted((tuple(plain(r[i]) for i in order) for r in rel.fetchall()), key=repr)
     assert sorted(df.columns) == sorted(names)
     assert got == want
+
+
+def test_ranking_scores_every_document(spark, duck):
+    got = {r["index"] for r in QUERIES["tfidf_scores_all"](spark, SF).collect()}
+    assert got == {r[0] for r in duck.execute("SELECT doc_id FROM documents").fetchall()}
+    ranked = {r["index"] for r in QUERIES["rank_topk_all"](spark, SF).collect()}
+    assert ranked - {r[0] for r in duck.execute("SELECT doc_id FROM documents WHERE lang = 'en'").fetchall()}
