@@ -48,6 +48,15 @@ def _share(df: DataFrame, parent: list[str | Column]) -> DataFrame:
     return df.where("leaves").drop("leaves", "level", "turn", "jump", "slope", "base", "dealt", "last", "next")
 
 
+def _asked(weights: dict[str, dict[str, float]], levels: list[str]) -> Column:
+    """Whether no level of a leaf has a named weight of 0."""
+    asked = F.lit(True)
+    for lv in levels:
+        for value in (v for v, x in weights.get(lv, {}).items() if x <= 0):
+            asked = asked & (F.col(lv) != value)
+    return asked
+
+
 def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total: float | None = None, total_share: float = 1.0, max_epochs: float = 2.0, levels: list[str] = LEVELS, least_epochs: float = 0.0) -> DataFrame:
     """(levels, tokens, budget) of every leaf.
 
@@ -58,11 +67,7 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total: floa
     weight of 0 keeps and gives nothing. Each level is settled from the top down against the capacities of
     whole subtrees, which hands a shortage to siblings before it leaves the parent.
     """
-    asked = F.lit(True)
-    for lv in levels:
-        for value in (v for v, x in weights.get(lv, {}).items() if x <= 0):
-            asked = asked & (F.col(lv) != value)
-    most = F.when(asked, F.col("tokens")).otherwise(F.lit(0))
+    most = F.when(_asked(weights, levels), F.col("tokens")).otherwise(F.lit(0))
     leaves = leaves.withColumn("capacity", most * F.lit(float(max_epochs))).withColumn("floor", most * F.lit(float(min(least_epochs, max_epochs))))
     top = F.lit(float(total)) if total is not None else F.sum(F.col("tokens").cast("double")).over(Window.partitionBy(F.lit(1))) * total_share
     given = None
@@ -94,7 +99,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column |
 
     A leaf's budget of b tokens out of t takes floor(b / t) whole epochs and, of the next, the longest
     prefix within what is left; documents whose keys tie go together. Null level values are the level
-    "". Documents without tokens go where the cut falls. Weights of 0 give a node nothing. With ``least_epochs`` of
+    "". Documents without tokens go where the cut falls; a leaf of nothing else is taken once. Weights of 0 give a node nothing. With ``least_epochs`` of
     1 each document of the others is taken at least once.
 
     No leaf is ordered in one place: tokens are summed by leaf and the key's first ``bucket_bits`` bits,
@@ -110,7 +115,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column |
     narrow = tagged.select(*[F.col(k).alias(lv) for lv, k in names.items()], F.col(id_col).alias("id"), token_count(text_col).alias("n"))
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     b = budgets(stored(leaves, "leaves"), weights, total, total_share, max_epochs, least_epochs=least_epochs)
-    whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") * (1 + 1e-12))).otherwise(F.lit(0)).cast("int")
+    whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") * (1 + 1e-12))).otherwise(_asked(weights, LEVELS).cast("int")).cast("int")
     b = stored(b.withColumn("whole", whole).withColumn("rest", F.greatest(F.col("budget") - F.col("whole") * F.col("tokens"), F.lit(0.0))).select(*LEVELS, "whole", "rest"), "leaf-budgets")
     # the cut of the last, partial epoch
     last = narrow.join(b, LEVELS).withColumn("key", order_key(F.col("id"), F.col("whole"), seed))

@@ -349,6 +349,14 @@ def test_contexts_find_spaced_and_bracketed_identifiers(spark):
 # mixing
 
 
+def test_more_children_than_rounds_and_empty_leaves(spark):
+    leaves = spark.createDataFrame([("a", f"l{i:02d}", "s", 2**i) for i in range(20)], "domain string, lang string, source string, tokens long")
+    weights = {"lang": {f"l{i:02d}": 2.0 for i in range(20)}}
+    assert sum(r.budget for r in mixing.budgets(leaves, weights, total=2.0**20, max_epochs=1.5).collect()) == pytest.approx(2**20)
+    df = spark.createDataFrame([(1, "a b c d", "en", "s", 7), (2, "", "de", "s", 0), (3, None, "de", "s", 0), (4, "", "fr", "s", 0)], SCHEMA)
+    assert sorted((r.doc_id, r.mix_epoch) for r in mixing.mix(df, {"lang": {"fr": 0}}).collect()) == [(1, 0), (2, 0), (3, 0)]
+
+
 def test_mixing_follows_weights(spark):
     texts = rand_texts(1200, seed=21, words=30)
     df = clashing(docs(spark, [*texts, None, ""], langs=["en", "de"]))
