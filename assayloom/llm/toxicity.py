@@ -100,7 +100,8 @@ def train(x: _Rows, y: np.ndarray, pairs: _Rows, ridge: float, fairness: float,
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 6000, max_features: int = 20000, least_chi2: float = 12.0, ridge: float = 2e-4, fairness: float = 1.0) -> ToxicityModel:
-    """Fit on at most ``per_class`` training rows of each label and ``max_features`` features by chi-squared.
+    """Fit on at most ``per_class`` training rows of each label and ``max_features`` features by chi-squared,
+    of ``least_chi2`` at least, whatever the number of rows.
 
     The intercept is moved from the sample's to the labels' proportion. No positive or no negative
     row: a constant score, the classes' share (0.5 without any label).
@@ -122,8 +123,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, label:
     df = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
     total = float(pos + neg)
     chi2 = F.lit(total) * F.pow(F.col("a") * (neg - F.col("b")) - F.col("b") * (pos - F.col("a")), F.lit(2)) / (F.lit(float(pos) * neg) * (F.col("a") + F.col("b")) * F.greatest(F.lit(total) - F.col("a") - F.col("b"), F.lit(1.0)))
-    least = min(least_chi2, 4.0) if total < 500 else least_chi2
-    top = df.where("a + b >= 3").withColumn("c", chi2).where(F.col("c") >= least).orderBy(F.desc("c"), "f").limit(max_features).select("f").collect()
+    top = df.where("a + b >= 3").withColumn("c", chi2).where(F.col("c") >= least_chi2).orderBy(F.desc("c"), "f").limit(max_features).select("f").collect()
     vocabulary = {bytes(r["f"]): i for i, r in enumerate(top)}
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -295,6 +295,14 @@ def test_counterfactual_pairs_level_group_words(spark):
     assert gap[1] < 0.5 * gap[0]
 
 
+def test_small_tables_keep_features_by_the_same_floor(spark):
+    # "weak" has a chi-squared of 6.7 over 100 rows, "strong" one of 100
+    texts = [f"{'strong' if i < 50 else 'mild'} {'weak' if i < 20 or 50 <= i < 58 else 'plain'}" for i in range(100)]
+    labels = spark.createDataFrame([(i, int(i < 50)) for i in range(100)], "doc_id long, toxic int")
+    weight = toxicity.fit_toxicity(docs(spark, texts), labels, F.lit(True)).weight
+    assert b"strong" in weight and b"weak" not in weight
+
+
 # personal data
 
 
