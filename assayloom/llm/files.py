@@ -26,9 +26,3 @@ def read_whole(uri: str) -> bytes:
     fs, path = open_fs(uri)
     with fs.open_input_stream(path) as f:
         return f.read()
-
-
-def read_range(uri: str, start: int, length: int) -> bytes:
-    fs, path = open_fs(uri)
-    with fs.open_input_file(path) as f:
-        return f.read_at(length, start)
