@@ -141,14 +141,15 @@ class WordCoder:
     The byte-level pattern never joins what stands before a single space with what stands after it,
     so a text is cut at every space between two non-spaces, and pieces seen lately are looked up.
     What is new goes to the library in one string; its ids are dealt to the pieces by byte length.
-    A text with other spaces beside a space is cut at the remaining places only.
+    A text with other spaces beside a space is cut at the remaining places only. A text that holds one of
+    the tokenizer's added tokens, which the library takes out first, goes to it whole.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}  # " " + piece
         self.old: dict[str, bytes] = {}
         self.limit = limit
@@ -174,6 +175,15 @@ class WordCoder:
                 last = stop
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if whole:
+            rest = sorted(set(range(len(texts))) - set(whole))
+            got = dict(zip(whole, self.library([texts[i] for i in whole]), strict=True))
+            got.update(zip(rest, self.encode_cut([texts[i] for i in rest]), strict=True))
+            return [got[i] for i in range(len(texts))]
+        return self.encode_cut(texts)
+
+    def encode_cut(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.split(" ") for t in texts]
         new = set().union(*cut) - self.young.keys()
         seen = new & self.old.keys()
@@ -235,7 +245,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             files, held, names, lengths, size = files + 1, [], [], [], 0
             return made
 
-        for batch in batches(it, 1000):
+        for batch in batches(it, 500):
             coded = code.encode_batch(batch.column(1).to_pylist())
             for name, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
                 held += [ids, end]
@@ -250,14 +260,16 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     return stored(rows.mapInArrow(run, "part long, file long, path string, n_docs long, n_tokens long"), "token-manifest")
 
 
-def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def read_tokens(manifest: DataFrame, id_col: str = "doc_id", most_tasks: int = 20_000) -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32) of every document, from the files alone.
 
     A file's first position is the number of ids in the files before it: a running sum over the
-    manifest, whose rows are files, not documents.
+    manifest, whose rows are files, not documents. Files are dealt out one to a task, up to ``most_tasks``.
     """
     before = F.sum("n_tokens").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1))
-    files = stored(manifest.select("path", F.coalesce(before, F.lit(0)).alias("base")), "token-files").repartition("path")
+    files = stored(manifest.select("path", F.coalesce(before, F.lit(0)).alias("base")), "token-files")
+    # a number of its own: adaptive execution would merge tasks by the manifest's bytes, not the files'
+    files = files.repartition(max(1, min(files.count(), most_tasks)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
