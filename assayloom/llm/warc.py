@@ -1,9 +1,10 @@
 """WARC archives with identical-payload revisits, and a capture index merged from sorted runs.
 
 Each task writes one archive after the other (a gzip member per record) and the captures of each as a
-run sorted by URL key and time. Runs meet in range partitions of the index; there a loser tree merges a
-partition's slices of the runs, which gives capture histories in one global order. Archives are read
-back through that index.
+run sorted by URL key and time. Runs meet in range partitions of the index, of a bounded number of
+captures each; there a loser tree merges the partition's slices of the runs, which stay in Arrow's form
+but for the few rows at their heads. That gives capture histories in one global order. Archives are
+read back through that index.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import batches, fresh_path, groups, stored, utf8
+from assayloom.llm.common import batches, fresh_path, stored, utf8
 from assayloom.llm.files import open_fs, write_whole
 
 RUN = "run string, urlkey string, ts string, page_id long, offset long, length long"
@@ -159,18 +161,45 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
     return stored(with_revisits(pages, least_bytes).mapInArrow(run, RUN), "captures")
 
 
-def merge_index(captures: DataFrame) -> DataFrame:
+def slices_of(it: Iterator[pa.RecordBatch]) -> list[list[pa.RecordBatch]]:
+    """The rows of each run, as pieces of the batches they came in; batches are sorted by run, their first column."""
+    slices: list[list[pa.RecordBatch]] = []
+    last = None
+    for batch in it:
+        names = batch.column(0).dictionary_encode()
+        code = np.asarray(names.indices)
+        edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            name = names.dictionary[int(code[a])].as_py()
+            if name != last:
+                slices.append([])
+                last = name
+            slices[-1].append(batch.slice(a, b - a))
+    return slices
+
+
+def rows_of(pieces: list[pa.RecordBatch], ahead: int = 64) -> Iterator[tuple]:
+    """A run's rows as (urlkey, ts, page, run, offset, length), ``ahead`` of them at a time."""
+    for piece in pieces:
+        for at in range(0, piece.num_rows, ahead):
+            name, keys, ts, ids, offset, size = (c.to_pylist() for c in piece.slice(at, ahead).columns)
+            yield from zip(keys, ts, [(i is not None, i or 0) for i in ids], name, offset, size, strict=True)
+
+
+def merge_index(captures: DataFrame, part_rows: int = 200_000) -> DataFrame:
     """(part, row, run, urlkey, ts, page_id, offset, length): all captures in global order of (part, row).
 
-    Parts are ranges of URL key, time and page; each task merges its slices of the runs by a loser tree.
+    Parts are ranges of URL key, time, page and run, of about ``part_rows`` captures, so one key's captures can
+    spread over several; each task merges its slices of the runs by a loser tree.
     """
-    cut = captures.repartitionByRange("urlkey", "ts", "page_id", "run").sortWithinPartitions("run", "urlkey", "ts", "page_id")
+    n_parts = max(1, -(-captures.count() // part_rows))
+    cut = captures.repartitionByRange(n_parts, "urlkey", "ts", "page_id", "run").sortWithinPartitions("run", "urlkey", "ts", "page_id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        slices = []
-        for name, keys, ts, ids, at, size in groups(it, 1):
-            slices.append(zip(keys, ts, [(i is not None, i or 0) for i in ids], name, at, size, strict=True))
+        slices = [rows_of(pieces) for pieces in slices_of(it)]
         held, n = [], 0
 
         def batch() -> pa.RecordBatch:
@@ -190,13 +219,15 @@ def merge_index(captures: DataFrame) -> DataFrame:
     return cut.mapInArrow(run, "part long, row long, " + RUN)
 
 
-def read_archives(index: DataFrame) -> DataFrame:
+def read_archives(index: DataFrame, most_tasks: int = 20_000) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, ts, part, row) of every capture, from the archives.
 
-    Captures go to tasks by archive and are read in the order of their places. A response's length
-    and digest come from its payload, which must match the header; a revisit's from its header.
+    Captures go to tasks by archive, as many tasks as archives up to ``most_tasks``, and are read in the order of
+    their places. A response's length and digest come from its payload, which must match the header; a
+    revisit's from its header.
     """
-    rows = index.select("run", "offset", "length", "urlkey", "ts", "part", "row").repartition("run").sortWithinPartitions("run", "offset")
+    archives = index.select("run").distinct().count()
+    rows = index.select("run", "offset", "length", "urlkey", "ts", "part", "row").repartition(max(1, min(archives, most_tasks)), "run").sortWithinPartitions("run", "offset")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, f = None, None
