@@ -8,7 +8,7 @@ DataFrame and SQL functions only. The steps:
 2. Every window and every item gets a 64-bit SimHash of its words.
 3. Fingerprints are cut into four blocks of 16 bits. Two within ``radius`` differ in at most
    ``radius // 4`` bits of some block, so items are entered under every block value that near, windows
-   look up their own four, and no pair within the radius is missed.
+   look up their own four, and no pair within the radius is missed. A window meets items of its own size.
 4. Pairs within the radius are kept if the weighted Jaccard similarity of their shingle multisets
    (shared occurrences over all occurrences) is at least ``least``.
 """
@@ -92,8 +92,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, least:
     same = F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.h") == F.col("y.h"))
     cut = rows.alias("x").join(windows.groupBy("id", "h").agg(F.collect_set(F.struct("start", "size", "k")).alias("at")).alias("y"), same)
     cut = cut.select("x.id", "x.h", words_of(F.col("x.t")).alias("w"), "at")
-    cut = cut.select("id", "h", F.explode(F.transform("at", lambda a: F.struct(a["start"].alias("start"), a["k"].alias("k"), F.slice("w", a["start"] + 1, a["size"]).alias("ww")))).alias("a"))
-    cut = cut.select("id", "h", "a.start", "a.k", "a.ww")
+    cut = cut.select("id", "h", F.explode(F.transform("at", lambda a: F.struct(a["start"].alias("start"), a["k"].alias("k"), a["size"].alias("size"), F.slice("w", a["start"] + 1, a["size"]).alias("ww")))).alias("a"))
+    cut = cut.select("id", "h", "a.start", "a.k", "a.size", "a.ww")
     own = F.lit(None).cast("array<bigint>")
     for k in sizes:
         own = F.when(F.col("k") == k, shingles_of(F.col("ww"), k)).otherwise(own)
@@ -101,12 +101,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, least:
 
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
     masks = F.array(*[F.lit(m) for m in near_masks(radius // BLOCKS)])
-    entered = items.select("item_id", "k", "ifp", blocks.alias("block")).select("item_id", "k", "ifp", "block", F.explode(masks).alias("mask"))
-    entered = entered.select("item_id", "k", "ifp", "block", block_value(F.col("ifp"), F.col("block")).bitwiseXOR(F.col("mask")).alias("value"))
-    looked = cut.select("id", "h", "start", "k", "n_words", "wfp", blocks.alias("block")).withColumn("value", block_value(F.col("wfp"), F.col("block")))
-    near = looked.join(entered, ["block", "value", "k"]).withColumn("hamming", F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp")))).where(F.col("hamming") <= radius)
-    near = near.select("id", "h", "start", "k", "n_words", "item_id", "hamming").distinct()
-    both = near.alias("p").join(cut.select("id", "h", "start", "k", "n_words", "wsh").alias("q"), F.col("p.id").eqNullSafe(F.col("q.id")) & (F.col("p.h") == F.col("q.h")) & (F.col("p.start") == F.col("q.start")) & (F.col("p.k") == F.col("q.k")) & (F.col("p.n_words") == F.col("q.n_words")))
+    entered = items.select("item_id", "k", "size", "ifp", blocks.alias("block")).select("item_id", "k", "size", "ifp", "block", F.explode(masks).alias("mask"))
+    entered = entered.select("item_id", "k", "size", "ifp", "block", block_value(F.col("ifp"), F.col("block")).bitwiseXOR(F.col("mask")).alias("value"))
+    looked = cut.select("id", "h", "start", "k", "size", "n_words", "wfp", blocks.alias("block")).withColumn("value", block_value(F.col("wfp"), F.col("block")))
+    near = looked.join(entered, ["block", "value", "k", "size"]).withColumn("hamming", F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp")))).where(F.col("hamming") <= radius)
+    near = near.select("id", "h", "start", "k", "size", "n_words", "item_id", "hamming").distinct()
+    both = near.alias("p").join(cut.select("id", "h", "start", "k", "size", "wsh").alias("q"), F.col("p.id").eqNullSafe(F.col("q.id")) & (F.col("p.h") == F.col("q.h")) & (F.col("p.start") == F.col("q.start")) & (F.col("p.k") == F.col("q.k")) & (F.col("p.size") == F.col("q.size")))
     both = both.select("p.*", "q.wsh").alias("p").join(items.select("item_id", "ish").alias("i"), F.col("p.item_id").eqNullSafe(F.col("i.item_id"))).select("p.*", "i.ish").where(F.arrays_overlap("wsh", "ish"))
     both = both.withColumn("shared", shared_weight(F.col("wsh"), F.col("ish"))).withColumn("similarity", F.col("shared") / (F.size("wsh") + F.size("ish") - F.col("shared")))
     passed = both.where(F.col("similarity") >= least)
