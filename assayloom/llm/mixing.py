@@ -94,8 +94,9 @@ def order_key(id_col: Column, epoch: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column | None = None, total: float | None = None, total_share: float = 1.0, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", bucket_bits: int = 12, least_epochs: float = 0.0) -> DataFrame:
-    """``docs``, each row once for every epoch that takes it, with ``mix_epoch`` (from 0).
+def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column | None = None, total: float | None = None, total_share: float = 1.0, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", bucket_bits: int = 12, least_epochs: float = 0.0, epoch_col: str = "mix_epoch") -> DataFrame:
+    """``docs``, each row once for every epoch that takes it, with the epoch (from 0) in ``epoch_col``, which
+    takes the place of a column of that name.
 
     A leaf's budget of b tokens out of t takes floor(b / t) whole epochs and, of the next, the longest
     prefix within what is left; documents whose keys tie go together. Null level values are the level
@@ -105,6 +106,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column |
     No leaf is ordered in one place: tokens are summed by leaf and the key's first ``bucket_bits`` bits,
     running sums over these find the bucket in which a leaf's cut falls, and only rows of such
     buckets are ordered. The cut keys are a row per leaf, joined back; Spark broadcasts them if they are small.
+    Rows that share an id share their key, so null ids of a leaf go in or out together.
     """
     tagged = docs
     names = {lv: f"__mix_{lv}" for lv in LEVELS}
@@ -125,8 +127,9 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column |
     sums = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
     edge = sums.where("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("bucket", "before")).alias("e")).select(*LEVELS, F.col("e.bucket").alias("bucket"), F.col("e.before").alias("before"))
     edge = stored(edge, "edges")
-    inside = last.join(edge, [*LEVELS, "bucket"])
-    run = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("key").rangeBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    # rows of one key, of a repeated id say, are summed up before any are ordered
+    inside = last.join(edge, [*LEVELS, "bucket"]).groupBy(*LEVELS, "key", "before", "rest").agg(F.sum("n").alias("n"))
+    run = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
     taken = inside.withColumn("run", run).where("run <= rest").groupBy(*LEVELS).agg(F.max("key").alias("in_edge"))
     floor_key = F.shiftleft(F.col("bucket").cast("long"), 60 - bucket_bits) - 1
     cuts = b.join(edge.select(*LEVELS, "bucket"), LEVELS, "left").join(taken, LEVELS, "left")
@@ -136,5 +139,5 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], domain: Column |
     out = tagged.join(cuts, keys)
     partial = order_key(F.col(id_col), F.col("__mix_whole"), seed) <= F.col("__mix_cut")
     epochs = F.col("__mix_whole") + partial.cast("int")
-    out = out.withColumn("mix_epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(0), epochs - 1)).otherwise(F.array().cast("array<int>"))))
-    return out.drop(*keys, "__mix_whole", "__mix_cut")
+    out = out.withColumn("__mix_epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(0), epochs - 1)).otherwise(F.array().cast("array<int>"))))
+    return out.select(*[F.col(c) for c in docs.columns if c.lower() != epoch_col.lower()], F.col("__mix_epoch").alias(epoch_col))

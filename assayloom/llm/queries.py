@@ -110,7 +110,11 @@ SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, {_BASE32} AS payload
 
 
 def _op7() -> str:
-    """The budget tree level by level, eight rounds of sharing in each, then the epochs and the prefix of the last."""
+    """The budget tree level by level, then the epochs and the prefix of the last.
+
+    With a parent's children in the order of capacity over weight, what is left after those before a child, over
+    the weights from it on, is largest where the budget is used up: that is the level that all others get by weight.
+    """
     parts = ["d AS (SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' ELSE 'curated' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, lang AS lang0, source AS source0, CAST(ceil(strlen(coalesce(text, '')) / 4) AS BIGINT) AS n FROM documents)"]
     parts.append("leaves AS (SELECT domain, lang, source, sum(n) AS tokens FROM d GROUP BY ALL)")
     levels = ["domain", "lang", "source"]
@@ -120,14 +124,14 @@ def _op7() -> str:
         weight = "CASE " + " ".join(f"WHEN {levels[depth - 1]} = '{k}' THEN {float(v)}" for k, v in named.items()) + " ELSE 1.0 END" if named else "CAST(sum(tokens) AS DOUBLE)"
         budget = "sum(CAST(tokens AS DOUBLE)) OVER ()" if depth == 1 else "b.budget"
         join = "" if depth == 1 else f" JOIN (SELECT {parent}, budget FROM b{depth - 1}) b USING ({parent})"
-        parts.append(f"n{depth} AS (SELECT {own}, CAST(sum(tokens) AS DOUBLE) * 2.0 AS capacity, sum(tokens) AS tokens, {weight} AS weight FROM leaves GROUP BY {own})")
-        parts.append(f"s{depth}_0 AS (SELECT {own}, capacity, tokens, weight, {budget} AS budget, CAST(0 AS DOUBLE) AS give FROM n{depth}{join})")
-        over = f"OVER (PARTITION BY {parent})" if parent else "OVER ()"
-        for i in range(1, 9):
-            opened = "CASE WHEN give < capacity * (1 - 1e-12) THEN weight ELSE 0 END"
-            parts.append(f"s{depth}_{i} AS (SELECT * EXCLUDE (spare, opened, total) REPLACE (least(capacity, give + CASE WHEN total > 0 THEN greatest(spare, 0) * opened / total ELSE 0 END) AS give) FROM (SELECT *, budget - sum(give) {over} AS spare, {opened} AS opened, sum({opened}) {over} AS total FROM s{depth}_{i - 1}))")
-        parts.append(f"b{depth} AS (SELECT {own}, tokens, give AS budget FROM s{depth}_8)")
-    parts.append("w AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(budget / tokens * (1 + 1e-12)) AS BIGINT) ELSE 0 END AS whole FROM b3)")
+        parts.append(f"n{depth} AS (SELECT {own}, CAST(sum(tokens) AS DOUBLE) * 2.0 AS capacity, sum(tokens) AS tokens, CAST({weight} AS DOUBLE) AS weight FROM leaves GROUP BY {own})")
+        parts.append(f"s{depth} AS (SELECT {own}, capacity, tokens, weight, {budget} AS budget FROM n{depth}{join})")
+        within = f"PARTITION BY {parent} " if parent else ""
+        order = f"{within}ORDER BY capacity / nullif(weight, 0) NULLS LAST, {own}"
+        parts.append(f"t{depth} AS (SELECT *, (budget - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS reach FROM s{depth})")
+        parts.append(f"l{depth} AS (SELECT *, weight * coalesce(max(reach) OVER ({within}), 0) AS want FROM t{depth})")
+        parts.append(f"b{depth} AS (SELECT {own}, tokens, CASE WHEN weight > 0 AND want >= capacity * (1 - 1e-12) THEN capacity ELSE want END AS budget FROM l{depth})")
+    parts.append("w AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(budget / tokens * (1 + 1e-12)) AS BIGINT) ELSE 1 END AS whole FROM b3)")
     parts.append("k AS (SELECT d.*, whole, greatest(budget - whole * tokens, 0) AS rest, CAST('0x' || substr(md5('7:' || whole || ':' || doc_id), 1, 15) AS BIGINT) AS key FROM d JOIN w USING (domain, lang, source))")
     parts.append("r AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE UNBOUNDED PRECEDING) AS run FROM k)")
     return "WITH " + ", ".join(parts) + " SELECT doc_id, domain, lang0 AS lang, source0 AS source, n AS n_tokens, CAST(e AS INTEGER) AS mix_epoch FROM r, range(0, 5) AS t(e) WHERE e < whole + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END"
