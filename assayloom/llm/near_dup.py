@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import batches, groups, hash_words, rolling, stored, utf8
+from assayloom.llm.common import batches, groups, hash_words, rolling, stored, utf8, workspace
 
 BANDS, ROWS = 40, 5
+Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -60,7 +61,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, ro
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients(bands * rows, seed)
-        for batch in batches(it):
+        for batch in batches(it, 200):
             n, digest, sig = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, k)
@@ -76,7 +77,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k:
     """(node, p): the shingle set of each document in ``ids``, made from its whole text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, 500):
+        for batch in batches(it, 100):
             out = [shingle_set(t, k).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "p"])
 
@@ -118,7 +119,8 @@ def _alike(payload: list[bytes], num: int, den: int) -> Callable[[int, np.ndarra
     size = np.array([len(x) for x in sets])
     every = np.concatenate(sets)
     order = np.argsort(every, kind="stable")
-    owner, every = np.repeat(np.arange(len(sets)), size)[order], every[order]
+    owner, every = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order], every[order]
+    del order
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
         fit = others[den * np.minimum(size[others], size[i]) >= num * np.maximum(size[others], size[i])]
@@ -159,60 +161,66 @@ def _link_task(compare: str, limits: tuple, keys: int, across: bool) -> Callable
     return run
 
 
-def linked(members: DataFrame, payload: DataFrame, compare: str, limits: tuple, chunk: int, name: str) -> DataFrame:
+def linked(members: DataFrame, payload: DataFrame, compare: str, limits: tuple, chunk: int, name: str, keep: Keep = stored) -> DataFrame:
     """(node, root): how components merge by what ``compare`` finds alike within groups; those that don't are absent.
 
-    ``members``: (g, node, comp, size), comp being a component's smallest node and size the group's.
-    ``payload``: (node, p).
+    ``members``: (g, node, comp, size), comp being a component's smallest node and size the group's, in units
+    of which a task takes some ``chunk``. ``payload``: (node, p).
     """
     cut = F.ceil(F.col("size") / chunk).cast("int")
     rows = members.withColumn("chunks", cut).withColumn("own", F.pmod(F.xxhash64("node", "g"), F.col("chunks")).cast("int"))
     whole = rows.join(payload, "node").select("g", "own", F.lit(0).alias("side"), "node", "comp", "p")
     whole = whole.repartition("g", "own").sortWithinPartitions("g", "own")
-    merged = connected_components(whole.mapInArrow(_link_task(compare, limits, 2, False), "a long, b long"), name)
+    merged = connected_components(whole.mapInArrow(_link_task(compare, limits, 2, False), "a long, b long"), name, keep)
     large = rows.where("chunks > 1")
     if large.limit(1).count() == 0:
         return merged
     large = large.join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
-    large = stored(large, f"{name}-large")
+    large = keep(large, f"{name}-large")
     parts = large.groupBy("g", "comp").agg(F.count("*").alias("n"))
     main = parts.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("k"), F.sum("n").alias("all")).where("k > 1")
-    main = main.select("g", F.col("m.comp").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / chunk).cast("int").alias("lefts"))
-    large = large.join(main, "g")
+    main = main.select("g", F.col("m.comp").alias("main"), F.col("m.n").alias("n_main"), F.col("all"))
+    # the chunks are as wide as the group's were, by its mean size of a member
+    lefts = F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("n_main")) * F.col("size") / F.col("all") / chunk)).cast("int")
+    large = large.join(main, "g").withColumn("lefts", lefts)
     left = large.where("comp <> main").select("g", F.pmod(F.xxhash64("node"), "lefts").cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("r"), F.lit(0).alias("side"), "node", "comp")
     right = large.select("g", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.col("own").alias("r"), F.lit(1).alias("side"), "node", "comp")
     pairs = left.union(right).join(payload, "node").select("g", "l", "r", "side", "node", "comp", "p").repartition("g", "l", "r").sortWithinPartitions("g", "l", "r")
-    return composed(merged, connected_components(pairs.mapInArrow(_link_task(compare, limits, 3, True), "a long, b long"), f"{name}-across"))
+    return composed(merged, connected_components(pairs.mapInArrow(_link_task(compare, limits, 3, True), "a long, b long"), f"{name}-across", keep))
 
 
 def composed(first: DataFrame, then: DataFrame) -> DataFrame:
-    """(node, root) of two mergers, the second over the roots of the first."""
+    """(node, root) of two mergers, the second over the roots of the first.
+
+    A left join, in which a root of very many nodes can be split, and the second's nodes that the first has not.
+    """
     later = then.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-    return first.join(later, F.col("root") == F.col("n2"), "full_outer").select(F.coalesce("node", "n2").alias("node"), F.coalesce("r2", "root").alias("root"))
+    moved = first.join(later, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("r2", "root").alias("root"))
+    return moved.union(then.join(first.select("node"), "node", "left_anti").select("node", "root"))
 
 
-def rough_clusters(members: DataFrame, sigs: DataFrame, least: float, chunk: int, first_bands: int) -> DataFrame:
+def rough_clusters(members: DataFrame, sigs: DataFrame, least: float, chunk: int, first_bands: int, keep: Keep = stored) -> DataFrame:
     """(node, root): the components of what signatures link within buckets.
 
     The first bands join most of a group of near copies; of the others only buckets that still hold
     several components are looked at, so a group of n gives some n links, not n for every band.
     """
     one = members.where(F.col("band") < first_bands).withColumn("comp", F.col("node"))
-    comps = stored(linked(one.select("g", "node", "comp", "size"), sigs, "sig", (least,), chunk, "rough-first"), "rough-components")
+    comps = keep(linked(one.select("g", "node", "comp", "size"), sigs, "sig", (least,), chunk, "rough-first", keep), "rough-components")
     rest = members.where(F.col("band") >= first_bands).join(comps.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = stored(rest.select("g", "node", "comp", "size"), "rest")
+    rest = keep(rest.select("g", "node", "comp", "size"), "rest")
     mixed = rest.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
-    return composed(comps, linked(stored(rest.join(mixed, "g"), "mixed"), sigs, "sig", (least,), chunk, "rough-rest"))
+    return composed(comps, linked(keep(rest.join(mixed, "g"), "mixed"), sigs, "sig", (least,), chunk, "rough-rest", keep))
 
 
-def connected_components(edges: DataFrame, name: str = "edges", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "edges", keep: Keep = stored, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b), root being the component's smallest node.
 
     Alternating large-star and small-star (Kiveris et al., 2014) until every node points at a root. A
     node's smallest neighbour is found by partial aggregation and joined back, so a hub's edges stay
     spread; nothing is collected but whether any node is left over.
     """
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    e = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     for _ in range(max_rounds):
         places = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("p")).select("p.*")
         unsettled = places.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
@@ -223,7 +231,7 @@ def connected_components(edges: DataFrame, name: str = "edges", max_rounds: int
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct()
-        e = stored(small, name)
+        e = keep(small, name)
     raise RuntimeError("components did not settle")
 
 
@@ -235,21 +243,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     probability 1.2e-7, and its signature falls below the pre-check (0.15 under the threshold, 5 standard
     deviations) as rarely; larger corpora want more rows a band and more bands.
     Null or wordless texts: size 0, a component of their own. Null ids: row kept, component null.
-    Rows with one id count as one node. Other columns of ``docs`` are ignored.
+    Rows with one id count as one node. Other columns of ``docs`` are ignored. What is stored on the way goes in the end.
     """
+    with workspace(docs.sparkSession, "near-duplicates") as keep:
+        return stored(_near_duplicates(docs, id_col, text_col, shingle_words, num, den, bands, rows, seed, chunk, keep), "components")
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, num: int, den: int, bands: int, rows: int, seed: int, chunk: int, keep: Keep) -> DataFrame:
     least = num / den - 0.15
-    sketch = stored(sketches(docs, id_col, text_col, shingle_words, bands, rows, seed), "sketch")
-    reps = stored(sketch.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "reps")
+    sketch = keep(sketches(docs, id_col, text_col, shingle_words, bands, rows, seed), "sketch")
+    reps = keep(sketch.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")), "reps")
     width = 2 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
     banded = reps.select("rep", F.posexplode(keys).alias("band", "g"))
     buckets = banded.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(banded.join(buckets, "g").select("g", "band", F.col("rep").alias("node"), "size"), "members")
+    members = keep(banded.join(buckets, "g").select("g", "band", F.col("rep").alias("node"), "size"), "members")
     sigs = reps.select(F.col("rep").alias("node"), F.col("sig").alias("p"))
-    clusters = stored(rough_clusters(members, sigs, least, chunk, max(1, bands // 10)).select("node", F.col("root").alias("g")), "clusters")
-    clusters = clusters.withColumn("comp", F.col("node")).join(clusters.groupBy("g").agg(F.count("*").alias("size")), "g")
-    sets = stored(shingle_sets(docs, clusters.select(F.col("node").alias("id")), id_col, text_col, shingle_words), "sets")
-    comps = linked(clusters, sets, "set", (num, den), chunk // 2, "links").withColumnRenamed("node", "rep")
+    clusters = keep(rough_clusters(members, sigs, least, chunk, max(1, bands // 10), keep).select("node", F.col("root").alias("g")), "clusters")
+    # a chunk of sets is bounded in shingles too: each thousand counts as one more document
+    weights = clusters.join(reps.select(F.col("rep").alias("node"), (F.col("n") / 1000 + 1).cast("long").alias("w")), "node")
+    clusters = clusters.withColumn("comp", F.col("node")).join(weights.groupBy("g").agg(F.sum("w").alias("size")), "g")
+    sets = keep(shingle_sets(docs, clusters.select(F.col("node").alias("id")), id_col, text_col, shingle_words), "sets")
+    comps = linked(clusters, sets, "set", (num, den), chunk // 2, "links", keep).withColumnRenamed("node", "rep")
     classes = reps.select("digest", "rep").join(comps, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
     out = sketch.select("id", "n", "digest").join(classes, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
@@ -262,7 +277,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Rows that share an id are one document, of which one row stays. Rows with a null id stay.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = stored(found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct(), "near-duplicates")
+    gone = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct()
     out = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
     again = stored(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again"), "repeated-ids")
     if again.limit(1).count():
