@@ -83,12 +83,17 @@ def load_map(spark: SparkSession, folder: str, version: int | None = None) -> Da
 
 
 def assign_shards(docs: DataFrame, m: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``virtual_slot`` and ``shard``. The map has a fixed number of rows, so it is broadcast."""
+    """``docs`` with ``virtual_slot`` and ``shard``, which take the place of columns of these names.
+
+    The map has a fixed number of rows, so it is broadcast. Rows of one id, and all without one, share a slot.
+    """
     n_slots = m.count()
     if n_slots > 1 << 20:
         raise ValueError("a map of over a million slots is not broadcast")
-    pairs = F.broadcast(m.select(F.col("slot").alias("virtual_slot"), "shard"))
-    return docs.withColumn("virtual_slot", slot_of(id_col, n_slots)).join(pairs, "virtual_slot")
+    pairs = F.broadcast(m.select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard")))
+    placed = docs.withColumn("__vs", slot_of(id_col, n_slots)).join(pairs, F.col("__vs") == F.col("__slot"))
+    others = [F.col(c) for c in docs.columns if c.lower() not in ("virtual_slot", "shard")]
+    return placed.select(*others, F.col("__vs").alias("virtual_slot"), F.col("__shard").alias("shard"))
 
 
 def shard_places(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,7 +102,8 @@ def shard_places(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id
     The law is ``bytes``: shards near equal in size. ``slot`` counts a shard's rows from 0 without
     gaps: by virtual slot, then id, then text checksum. The count before a virtual slot comes from
     the map, so rows are ordered within virtual slots only. Null texts have size 1 and checksum 0.
-    Columns of ``docs`` other than id and text are ignored.
+    Rows that share an id stay together, null ids among themselves. Columns of ``docs`` other than id and
+    text are ignored.
     """
     spark, folder = docs.sparkSession, fresh_path(docs.sparkSession, "slot-map")
     save_map(build_map(stored(slot_sizes(docs, n_slots, id_col, text_col), "slot-sizes"), n_shards), folder)
