@@ -144,13 +144,20 @@ def test_token_files(spark):
     ids = list(range(len(texts)))[::-1]
     got = sorted(tokens.token_files(clashing(docs(spark, texts, ids)), tokenizer_file()).collect(), key=lambda r: r.doc_id)
     t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
     start = 0
     for r, text in zip(got, texts[::-1], strict=True):
         want = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(want.tobytes()))
         start += len(want)
     assert tokens.token_files(docs(spark, ["x"]).limit(0), tokenizer_file()).count() == 0
+    some = ["a b", None, "c d<|endoftext|> e f", "a b", ""]
+    rows = sorted((r.doc_id is not None, r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens.token_files(docs(spark, some, [5, None, 3, 5, None]), tokenizer_file()).collect())
+    ids = lambda x: [*t.encode(x, add_special_tokens=False).ids, 0]
+    want, start = [], 0
+    for i, x in ((None, ""), (None, ""), (3, some[2]), (5, "a b"), (5, "a b")):
+        want.append((i is not None, i, start, len(ids(x)), zlib.crc32(np.array(ids(x), "<u4").tobytes())))
+        start += len(ids(x))
+    assert rows == want
 
 
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 70000])
@@ -345,9 +352,9 @@ def test_contexts_find_unseen_identifiers(spark):
 
 def test_contexts_find_spaced_and_bracketed_identifiers(spark):
     numbers = ["415 555 7788", "(415) 555-7788", "415 - 555 - 7788", "415-555 7788x12"]
-    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881"]
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "6011 1111 1111 1117", "3530 1113 3330 0000", "5105 1051 0510 5100"]
     texts = [f"please call me at +1 (415) 555-260{i} now" for i in range(12)] + [f"please call me at {x} now" for x in numbers]
-    texts += [f"paid by card {x} today" for x in [*cards, *cards, "4111 1111 1111 1112"]] + ["please call me at 415 555 7788. 12 apples", "please call me at 415 555 7786 10.0.0.1 up"]
+    texts += [f"paid by card {x} today" for x in [*cards, "4111 1111 1111 1112"]] + ["please call me at 415 555 7788. 12 apples", "please call me at 415 555 7786 10.0.0.1 up"]
     clean = [r.text for r in pii.redact(docs(spark, texts)).orderBy("doc_id").collect()]
     assert clean[:16] == ["please call me at [PHONE] now"] * 16
     assert clean[16:23] == ["paid by card [CARD] today"] * 7
