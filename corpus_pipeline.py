@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and again for each further epoch that the budgets of its language and source take it."""
-    return mix(docs, WEIGHTS, total_share=BUDGET_SHARE, least_epochs=LEAST_EPOCHS).drop("mix_epoch")
+    return mix(docs, WEIGHTS, total_share=BUDGET_SHARE, least_epochs=LEAST_EPOCHS, epoch_col="__epoch").drop("__epoch")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
