@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assayloom.functions.exprs import contains_any, let, letters_key, text
+from assayloom.functions.exprs import contains_any, let, letters_key, short, text
 
 # The chemical elements by atomic number.
 ELEMENTS = (
@@ -20,6 +20,7 @@ PROPERTY_TOKENS = ["size", "diameter", "radius", "length", "width", "hydrodynami
 PROPERTY_NAMES = [("vmax", "Vmax"), ("kcat", "kcat"), (r"\bkm\b", "Km"), ("zeta", "zeta potential"), ("ic50", "IC50"), ("viability", "cell viability"), ("cytotoxic", "cytotoxicity"), ("diameter", "particle diameter"), ("hydrodynamic", "hydrodynamic size"), ("size", "particle size"), ("surface area|bet", "BET surface area"), ("limit|lod", "limit of detection"), ("range", "linear range"), ("ph", "optimum pH"), ("temp", "optimum temperature"), ("rsd", "RSD"), ("activity", "activity")]
 # What one unit of length is in nanometres.
 NANOMETRES = {1.0: ["nm", "nanometer", "nanometers"], 1e3: ["um", "µm", "μm", "micrometer", "micrometers"], 1e9: ["m", "meter", "meters"], 0.1: ["angstrom", "angstroms", "a", "å"]}
+# An element with its count, and what names a supported catalyst; the texts of errors below are fixed too.
 TOKEN = r"([A-Z][a-z]?)(\d+(?:\.\d+)?)?"
 CATALYST = r"(?i)[-/@]|SBA|CNT|CNF|MOF|ZIF|SiO2|Al2O3|TiO2"
 
@@ -55,18 +56,23 @@ def _errors(f: Column, found: Column, given: Column) -> Column:
 
 
 def property_allowed(x: Column | str) -> Column:
-    return contains_any(letters_key(text(x)), PROPERTY_TOKENS)
+    return let(letters_key(text(x)), lambda key: contains_any(key, PROPERTY_TOKENS))
 
 
 def canonical_property(x: Column | str) -> Column:
     """The canonical name of a property, with ``_lower`` or ``_upper`` kept; unknown ones as they are."""
-    key = letters_key(text(x))
-    end = F.when(key.endswith(" lower"), "_lower").when(key.endswith(" upper"), "_upper").otherwise("")
-    stem = F.trim(F.when(end != "", F.regexp_replace(key, " (lower|upper)$", "")).otherwise(key))
-    out = F.lit(None).cast("string")
-    for pattern, name in reversed(PROPERTY_NAMES):
-        out = F.when(stem.rlike(pattern), F.concat(F.lit(name), end)).otherwise(out)
-    return F.coalesce(out, text(x))
+
+    def named(stem: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for pattern, name in reversed(PROPERTY_NAMES):
+            out = F.when(stem.rlike(pattern), F.lit(name)).otherwise(out)
+        return out
+
+    def whole(key: Column) -> Column:
+        end = F.when(key.endswith(" lower"), "_lower").when(key.endswith(" upper"), "_upper").otherwise("")
+        return F.concat(let(F.trim(F.regexp_replace(key, " (lower|upper)$", "")), named), end)
+
+    return F.coalesce(let(letters_key(text(x)), whole), text(x))
 
 
 def size_in_nm(value: Column, unit: Column | str) -> Column:
@@ -79,19 +85,21 @@ def size_in_nm(value: Column, unit: Column | str) -> Column:
 
 def sanity_errors(name: Column | str, value: Column, unit: Column | str) -> Column:
     """What is physically wrong with a value, as texts; the first kind of property a name contains decides."""
-    p, u = F.lower(text(name)), F.lower(text(unit))
-    nm = size_in_nm(value, unit)
+    bound = F.struct(F.lower(text(name)).alias("p"), F.lower(text(unit)).alias("u"), value.alias("v"), size_in_nm(value, unit).alias("nm"), short(value).alias("shown"))
+    return let(bound, lambda b: _insane(b["p"], b["u"], b["v"], b["nm"], b["shown"], text(name), text(unit)))
+
+
+def _insane(p: Column, u: Column, value: Column, nm: Column, shown: Column, name: Column, unit: Column) -> Column:
     said = lambda ok, *parts: F.when(ok, F.array().cast("array<string>")).otherwise(F.array(F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])))
-    shown = value.cast("string")
     celsius = F.when(u.isin("k", "kelvin"), value - 273.15).otherwise(value)
-    size = F.when(nm.isNull(), said(value > 0, text(name), " value must be positive")).when(nm < 0.1, said(F.lit(False), text(name), " value ", shown, " ", text(unit), " is below 0.1 nm")).otherwise(said(nm <= 1_000_000, text(name), " value ", shown, " ", text(unit), " is unrealistically large"))
-    rest = F.concat(said(~F.contains(p, F.lit("recovery")) | value.between(0, 200), "recovery value ", shown, " is outside 0-200%"), said(~F.contains(p, F.lit("rsd")) | value.between(0, 100), "RSD value ", shown, " is outside 0-100%"), said(value >= 0, text(name), " value must not be negative"))
+    size = F.when(nm.isNull(), said(value > 0, name, " value must be positive")).when(nm < 0.1, said(F.lit(False), name, " value ", shown, " ", unit, " is below 0.1 nm")).otherwise(said(nm <= 1_000_000, name, " value ", shown, " ", unit, " is unrealistically large"))
+    rest = F.concat(said(~F.contains(p, F.lit("recovery")) | value.between(0, 200), "recovery value ", shown, " is outside 0-200%"), said(~F.contains(p, F.lit("rsd")) | value.between(0, 100), "RSD value ", shown, " is outside 0-100%"), said(value >= 0, name, " value must not be negative"))
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) <= 1.7976931348623157e308)
     return (
-        F.when(~finite, said(F.lit(False), text(name), " value must be finite"))
+        F.when(~finite, said(F.lit(False), name, " value must be finite"))
         .when(F.contains(p, F.lit("ph")), said(value.between(0, 14), "pH value ", shown, " is outside 0-14"))
-        .when(F.contains(p, F.lit("temp")), said(celsius >= -273.15, "temperature value ", shown, " ", text(unit), " is physically impossible"))
+        .when(F.contains(p, F.lit("temp")), said(celsius >= -273.15, "temperature value ", shown, " ", unit, " is physically impossible"))
         .when(contains_any(p, ["size", "diameter", "radius", "length", "width"]), size)
-        .when(contains_any(p, ["km", "vmax", "kcat", "lod", "limit", "range", "rate", "velocity"]), said(value > 0, text(name), " value must be positive"))
+        .when(contains_any(p, ["km", "vmax", "kcat", "lod", "limit", "range", "rate", "velocity"]), said(value > 0, name, " value must be positive"))
         .otherwise(rest)
     )

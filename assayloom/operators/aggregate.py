@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions.chem import checked_formula
-from assayloom.functions.exprs import falsy_default, flag_list, lookup, or_default, rounded_number, text
+from assayloom.functions.exprs import falsy_default, flag_list, lookup, number, or_default, rounded, text
 
 # How much each kind of source counts.
 MOLECULE_PRIORITY = {"docling_table": 30, "camelot_table": 30, "table": 30, "text": 20, "chunk": 20, "llm_text": 20, "unknown": 10}
@@ -73,10 +73,10 @@ def normalize_molecules(rows: DataFrame, decimals: int = 3, order: str = "_row_o
     df = with_columns(rows, "canonical_smiles", "smiles", "property_name", "property", "value", "unit", "compound_id", "source_type", "article_id", "source_id", "chunk_index", "evidence")
     made = smiles if smiles is not None else text("smiles")
     df = df.select(
-        or_default(text("canonical_smiles"), made).alias("canonical_smiles"), falsy_default("property_name", "property", F.lit("pMIC")).alias("property_name"), rounded_number("value", decimals).alias("value"),
+        or_default(text("canonical_smiles"), made).alias("canonical_smiles"), falsy_default("property_name", "property", F.lit("pMIC")).alias("property_name"), number("value").alias("value"),
         source_type("source_type").alias("source_type"), *[text(c).alias(c) for c in ("unit", "compound_id", "smiles", "article_id", "source_id", "chunk_index", "evidence")], F.col(order).alias("_row_order"),
     )
-    df = df.where((F.col("canonical_smiles") != "") & (F.col("property_name") != "") & F.col("value").isNotNull())
+    df = df.where((F.col("canonical_smiles") != "") & (F.col("property_name") != "") & F.col("value").isNotNull()).withColumn("value", rounded("value", decimals))
     return _scored(df, "canonical_smiles", "valid_smiles", False)
 
 
@@ -112,11 +112,11 @@ def normalize_nano(rows: DataFrame, decimals: int = 6, order: str = "_row_order"
     """All rows with normalised columns and ``usable``."""
     df = with_columns(rows, "normalized_formula", "material_formula", "formula", "property_name", "property", "value", "unit", "units", "material_name", "material", "assay", "condition", "material_id", "compound_id", "source_type", "article_id", "source_id", "chunk_index", "evidence", "reason", "validator")
     df = df.select(
-        falsy_default("material_formula", "formula").alias("raw_formula"), text("normalized_formula").alias("given"), falsy_default("property_name", "property").alias("property_name"), falsy_default("unit", "units").alias("unit"), rounded_number("value", decimals).alias("value"), text("value").alias("raw_value"),
+        falsy_default("material_formula", "formula").alias("raw_formula"), text("normalized_formula").alias("given"), falsy_default("property_name", "property").alias("property_name"), falsy_default("unit", "units").alias("unit"), number("value").alias("value"), text("value").alias("raw_value"),
         falsy_default("material_name", "material").alias("material_name"), falsy_default("material_id", "compound_id").alias("material_id"), source_type("source_type", True).alias("source_type"), text("source_type").alias("raw_source"),
         *[text(c).alias(c) for c in ("assay", "condition", "article_id", "source_id", "chunk_index", "evidence", "reason", "validator")], F.col(order).alias("_row_order"),
     )
-    df = df.withColumn("normalized_formula", or_default(F.col("given"), checked_formula(F.col("raw_formula"))))
+    df = df.withColumns({"normalized_formula": or_default(F.col("given"), checked_formula(F.col("raw_formula"))), "value": rounded("value", decimals)})
     return df.withColumn("usable", (F.col("normalized_formula") != "") & (F.col("property_name") != "") & (F.col("unit") != "") & F.col("value").isNotNull())
 
 

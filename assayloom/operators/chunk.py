@@ -39,39 +39,43 @@ def selected(title: Column, targets: list[str]) -> Column:
 
 def soft_end(t: Column, start: Column, hard: Column) -> Column:
     """Where a chunk ends: after the last blank line, sentence, semicolon or line in the window's second half."""
-    window = F.substring(t, start + 1, hard - start)
     half = F.floor((hard - start) * 0.5)
-    end = hard
-    for separator in ["\n", "; ", ". ", "\n\n"]:
-        at = last_index(window, separator)
-        end = F.when(at >= half, start + at + len(separator)).otherwise(end)
-    return F.when(hard >= F.length(t), F.length(t)).otherwise(end).cast("int")
 
+    def end(window: Column) -> Column:
+        out = hard
+        for separator in ["\n", "; ", ". ", "\n\n"]:
+            at = last_index(window, separator)
+            out = F.when(at >= half, start + at + len(separator)).otherwise(out)
+        return out.cast("int")
 
-def bounds(t: Column, max_chars: int, overlap: int) -> Column:
-    """The (start, stop) of each chunk of a text, in order.
+    return let(F.substring(t, start + 1, hard - start), end)
+
+
+_CHUNK = "struct<start:int,stop:int,text:string>"
+
+
+def bounds(t: Column, n: Column, max_chars: int, overlap: int) -> Column:
+    """The (start, stop, text) of each chunk of a text of ``n`` characters, in order.
 
     The fold has as many steps as chunks can be needed; a step moves on by more than half a window
     less the overlap, or at least by one place where the overlap is larger than that.
     """
     least = max(1, max_chars // 2 - overlap)
-    steps = F.sequence(F.lit(0), F.ceil(F.length(t) / least).cast("int"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+    steps = F.sequence(F.lit(0), F.ceil(n / least).cast("int"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_CHUNK}>").alias("out"))
 
     def step(s: Column, _: Column) -> Column:
-        # the boundary is bound once, in a one-element array, not written out at every use
-        ends = F.array(soft_end(t, s["at"], F.least(s["at"] + max_chars, F.length(t))))
-        moved = F.transform(ends, lambda e: F.struct(F.when(e >= F.length(t), F.lit(-1)).when(e - overlap > s["at"], e - overlap).otherwise(e).cast("int").alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), e.alias("stop")))).alias("out")))
-        return F.when((s["at"] < 0) | (s["at"] >= F.length(t)), s).otherwise(F.get(moved, F.lit(0)))
+        stop = F.when(s["at"] + max_chars >= n, n).otherwise(soft_end(t, s["at"], s["at"] + max_chars))
+        moved = let(stop, lambda e: F.struct(F.when(e >= n, F.lit(-1)).when(e - overlap > s["at"], e - overlap).otherwise(e).cast("int").alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), e.alias("stop"), F.substring(t, s["at"] + 1, e - s["at"]).alias("text")))).alias("out")))
+        return F.when((s["at"] < 0) | (s["at"] >= n), s).otherwise(moved)
 
     return F.aggregate(steps, start, step, lambda s: s["out"])
 
 
-def chunk_articles(df: DataFrame, id_col: str, text_col: str, targets: list[str] | None = None, max_chars: int = 6000, overlap: int = 400) -> DataFrame:
-    """(id_col, index, section_title, text, start_char, end_char) of the chunks of the selected sections.
+def parts_of(df: DataFrame, id_col: str, text_col: str, targets: list[str] | None, max_chars: int, overlap: int) -> DataFrame:
+    """(id_col, section, section_title, part, start_char, end_char, text) of the chunks of the selected sections, row by row.
 
-    Offsets count from the start of a section with its title line. Where no section is selected the whole
-    text is the section ``Document``. ``index`` runs through an article from 0; blank chunks take none.
+    Where no section is selected the whole text is the section ``Document``.
     """
     if max_chars < 500 or overlap < 0 or overlap >= max_chars:
         raise ValueError("max_chars must be 500 or more, overlap from 0 to less than max_chars")
@@ -81,7 +85,18 @@ def chunk_articles(df: DataFrame, id_col: str, text_col: str, targets: list[str]
     parts = df.select(F.col(id_col), let(chosen, lambda c: F.when(F.size(c) > 0, c).otherwise(whole)).alias("parts"))
     parts = parts.select(id_col, F.posexplode("parts").alias("section", "s"))
     parts = parts.select(id_col, "section", F.col("s.title").alias("section_title"), strip(F.concat(F.lit("## "), "s.title", F.lit("\n\n"), "s.body")).alias("t"))
-    cut = parts.select(id_col, "section", "section_title", F.posexplode(F.transform(bounds(F.col("t"), max_chars, overlap), lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"), strip(F.substring(F.col("t"), b["start"] + 1, b["stop"] - b["start"])).alias("text")))).alias("part", "b"))
-    cut = cut.where(F.col("b.text") != "")
+    # the section's text and length are columns of their own, so that the fold's lambdas only name them
+    cut = parts.withColumn("n", F.length("t")).select(id_col, "section", "section_title", F.posexplode(bounds(F.col("t"), F.col("n"), max_chars, overlap)).alias("part", "b"))
+    cut = cut.select(id_col, "section", "section_title", "part", F.col("b.start").alias("start_char"), F.col("b.stop").alias("end_char"), strip("b.text").alias("text"))
+    return cut.where(F.col("text") != "")
+
+
+def chunk_articles(df: DataFrame, id_col: str, text_col: str, targets: list[str] | None = None, max_chars: int = 6000, overlap: int = 400) -> DataFrame:
+    """(id_col, index, section_title, text, start_char, end_char) of the chunks of the selected sections.
+
+    Offsets count from the start of a section with its title line. Where no section is selected the whole
+    text is the section ``Document``. ``index`` runs through an article from 0; blank chunks take none.
+    """
+    cut = parts_of(df, id_col, text_col, targets, max_chars, overlap)
     index = F.row_number().over(Window.partitionBy(id_col).orderBy("section", "part")) - 1
-    return cut.select(id_col, index.cast("int").alias("index"), "section_title", F.col("b.text").alias("text"), F.col("b.start").alias("start_char"), F.col("b.stop").alias("end_char"))
+    return cut.select(id_col, index.cast("int").alias("index"), "section_title", "text", "start_char", "end_char")

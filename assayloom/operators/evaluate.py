@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.exprs import falsy_default, number, or_default, safe_divide, text
+from assayloom.functions.exprs import falsy_default, fixed, let, number, or_default, safe_divide, text
 
 MISSING = "<missing>"
 # What one unit of concentration is in mol/l; mass units also need a molar weight.
@@ -15,8 +15,7 @@ MASS = ["ug/ml", "mcg/ml"]
 
 def value_text(x: Column | str, decimals: int = 3) -> Column:
     """A number with fixed decimals; other text as it is."""
-    n = number(x)
-    return F.when(n.isNotNull(), F.format_string(f"%.{decimals}f", n)).otherwise(text(x))
+    return let(number(x), lambda n: F.coalesce(fixed(n, decimals), text(x)))
 
 
 def records(df: DataFrame, smiles: str, prop: str, value: str, order: str, decimals: int = 3) -> DataFrame:
@@ -95,11 +94,16 @@ def mic_to_molar(value: Column, unit: Column | str, weight: Column | None = None
 
 def gold_value(value: Column | str, unit: Column | str, prop: Column | str, weight: Column | None = None) -> tuple[Column, Column, Column]:
     """(property, value text, unit) of a gold row: MIC becomes pMIC where the unit can be converted."""
-    n, p = number(value), or_default(text(prop), "pMIC")
-    molar = mic_to_molar(n, unit, weight)
-    turn, kept = n.isNotNull() & (F.lower(p) == "mic") & (molar > 0), n.isNotNull() & (F.lower(p) == "pmic")
-    shown = F.when(n.isNull(), text(value)).when(turn, F.format_string("%.3f", -F.log10(molar))).otherwise(F.format_string("%.3f", n))
-    return F.when(turn | kept, "pMIC").otherwise(p), shown, F.when(turn | kept, "pMIC").otherwise(text(unit))
+    p = or_default(text(prop), "pMIC")
+
+    def whole(n: Column) -> Column:
+        molar = mic_to_molar(n, unit, weight)
+        turn, kept = n.isNotNull() & (F.lower(p) == "mic") & (molar > 0), n.isNotNull() & (F.lower(p) == "pmic")
+        shown = F.coalesce(F.when(turn, let(-F.log10(molar), lambda m: fixed(m, 3))), fixed(n, 3), text(value))
+        return F.struct(F.when(turn | kept, "pMIC").otherwise(p).alias("property"), shown.alias("value"), F.when(turn | kept, "pMIC").otherwise(text(unit)).alias("unit"))
+
+    out = let(number(value), whole)
+    return out["property"], out["value"], out["unit"]
 
 
 def nested_gold(df: DataFrame, id_col: str, rows_col: str) -> DataFrame:

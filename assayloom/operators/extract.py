@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.chem import canonical_property, checked_formula, clean_formula, formula_errors, property_allowed, sanity_errors
-from assayloom.functions.exprs import let, strip, text
+from assayloom.functions.chem import checked_formula
+from assayloom.functions.exprs import compact_key, let, strip, text
 
 STRINGS = "array<string>"
 # The fields of a nano row and the keys that may stand for each.
@@ -26,6 +26,7 @@ ALIASES = {
     "assay": ["assay", "method", "measurement"],
     "condition": ["condition", "conditions"],
 }
+# What reads as a formula inside a name, and the keys under which rows are found.
 FORMULA_IN_NAME = r"\b(?:[A-Z][a-z]?\s*\d*(?:\.\d+)?\s*){2,}\b"
 ENVELOPES = ["validated_objects", "extracted_objects", "rows", "data"]
 
@@ -38,19 +39,25 @@ def unfenced(x: Column) -> Column:
 
 
 def first_object(x: Column) -> Column:
-    """The first balanced ``{...}``, strings and escapes minded; null without one."""
-    start = F.position(F.lit("{"), x)
-    chars = F.split(F.substring(x, start, F.length(x)), "")
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("end"))
+    """The first balanced ``{...}``, strings and escapes minded; null without one.
+
+    Whole strings, closed or not, and braces are the marks of the text; the fold goes over them, not over characters.
+    """
+    marks = r'(?s)"(?:[^"\\]++|\\.)*+"?|[{}]'
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
 
-    def step(s: Column, c: Column) -> Column:
-        depth = s["depth"] + F.when(s["quoted"], 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)
-        closes = ~s["quoted"] & (c == "}") & (s["depth"] == 1)
-        moved = F.struct((s["i"] + 1).alias("i"), depth.alias("depth"), F.when(s["escaped"] | (c != '"'), s["quoted"]).otherwise(~s["quoted"]).alias("quoted"), (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"), F.when(closes, s["i"] + 1).otherwise(0).alias("end"))
-        return F.when(s["end"] > 0, s).otherwise(moved)
+    def step(s: Column, m: Column) -> Column:
+        at = s["at"] + F.length(m["gap"]) + F.length(m["mark"])
+        depth = s["depth"] + F.when(m["mark"] == "{", 1).when(m["mark"] == "}", -1).otherwise(0)
+        closes = (s["end"] == 0) & (m["mark"] == "}") & (depth == 0)
+        return F.struct(at.alias("at"), depth.alias("depth"), F.when(closes, at).otherwise(s["end"]).alias("end"))
 
-    end = F.aggregate(F.filter(chars, lambda c: c != ""), zero, step, lambda s: s["end"])
-    return F.when(start > 0, let(end, lambda e: F.when(e > 0, F.substring(x, start, e))))
+    def cut(rest: Column) -> Column:
+        pairs = F.filter(F.arrays_zip(F.split(rest, marks, -1).alias("gap"), F.regexp_extract_all(rest, F.lit(marks), F.lit(0)).alias("mark")), lambda m: m["mark"].isNotNull())
+        return let(F.aggregate(pairs, zero, step, lambda s: s["end"]), lambda e: F.when(e > 0, F.substring(rest, F.lit(1), e)))
+
+    start = F.position(F.lit("{"), x)
+    return F.when(start > 0, let(F.substring(x, start, F.length(x)), cut))
 
 
 def payload(x: Column) -> Column:
@@ -71,9 +78,19 @@ def _rows(v: Column, kind: Column) -> Column:
     return F.filter(rows, lambda r: F.schema_of_variant(r).startswith("OBJECT"))
 
 
-def field(row: Column, names: list[str]) -> Column:
-    """The first filled of a row's fields, by any of the names, as text."""
-    return F.coalesce(*[F.nullif(text(F.try_variant_get(row, f"$.{n}", "string")), F.lit("")) for n in names], F.lit(""))
+def entries(row: Column) -> Column:
+    """A VARIANT object's fields as structs (k: the name's lower-case letters and digits, v: the value as text)."""
+    named = F.map_entries(F.try_variant_get(row, "$", "map<string,variant>"))
+    return F.transform(named, lambda e: F.struct(compact_key(e["key"]).alias("k"), strip(F.try_variant_get(e["value"], "$", "string")).alias("v")))
+
+
+def field(fields: Column, names: list[str]) -> Column:
+    """The first filled of a row's fields, by any of the names, as text; of fields whose names differ in case or marks only, the last."""
+    def called(name: str) -> Column:
+        key = F.lit("".join(c for c in name if c.isalnum()))
+        return F.get(F.reverse(F.filter(fields, lambda e: e["k"] == key)), F.lit(0))["v"]
+
+    return F.coalesce(*[F.nullif(called(n), F.lit("")) for n in names], F.lit(""))
 
 
 def numeric(x: Column) -> Column:
@@ -90,33 +107,19 @@ def first_formula(name: Column) -> Column:
 
 
 def nano_row(row: Column) -> list[Column]:
-    """Canonical fields of a VARIANT row."""
-    got = {k: field(row, names) for k, names in ALIASES.items()}
-    formula = F.when(got["material_formula"] != "", got["material_formula"]).otherwise(first_formula(got["material_name"]))
-    fields = {**got, "material_id": F.when(got["material_id"] != "", got["material_id"]).otherwise(F.lit("material")), "material_formula": formula, "material_name": F.when(got["material_name"] != "", got["material_name"]).otherwise(formula)}
-    return [*[c.alias(k) for k, c in fields.items()], numeric(F.try_variant_get(row, "$.value", "string")).alias("value")]
-
+    """Canonical fields of a VARIANT row, found by name whatever its case and marks."""
 
-def schema_errors(columns: list[str]) -> Column:
-    """Names of required fields that are empty."""
-    return F.filter(F.array(*[F.when(text(c) == "", F.concat(F.lit(c), F.lit(" is empty"))) for c in columns]), lambda e: e.isNotNull())
+    def whole(fields: Column) -> Column:
+        got = F.struct(*[field(fields, names).alias(k) for k, names in ALIASES.items()])
 
+        def filled(g: Column) -> Column:
+            formula = F.when(g["material_formula"] != "", g["material_formula"]).otherwise(first_formula(g["material_name"]))
+            return let(formula, lambda f: F.struct(*[F.when(g["material_id"] != "", g["material_id"]).otherwise(F.lit("material")).alias(k) if k == "material_id" else f.alias(k) if k == "material_formula" else F.when(g["material_name"] != "", g["material_name"]).otherwise(f).alias(k) if k == "material_name" else g[k].alias(k) for k in ALIASES]))
 
-def validate_nano(rows: DataFrame, group: list[str], order: str) -> DataFrame:
-    """Rows with normalized_formula, canonical property, ``state`` (valid, rejected, failed) and reason.
+        return let(got, filled)
 
-    Not-allowed properties and repeats (first of formula, property, unit, assay, condition in its
-    group counts) are rejected; bad formulas and impossible values fail, which calls for another attempt.
-    """
-    df = rows.withColumns({"normalized_formula": clean_formula("material_formula"), "formula_errors": formula_errors("material_formula"), "canonical": canonical_property("property_name"), "allowed": property_allowed("property_name"), "insane": sanity_errors("property_name", F.col("value"), "unit"), "empty": schema_errors(["material_id", "material_name", "material_formula", "property_name", "unit"])})
-    errors = F.concat("formula_errors", "insane")
-    ok = (F.size("empty") == 0) & F.col("allowed") & (F.size(errors) == 0)
-    key = ["normalized_formula", *[F.lower(text(c)) for c in ("canonical", "unit", "assay", "condition")]]
-    nth = F.row_number().over(Window.partitionBy(*group, ok, *key).orderBy(order))
-    df = df.withColumn("nth", nth)
-    reason = F.when(F.size("empty") > 0, F.array_join("empty", "; ")).when(~F.col("allowed"), F.concat(F.lit("property_name '"), "property_name", F.lit("' is not an allowed nanozyme endpoint"))).when(F.size(errors) > 0, F.array_join(errors, "; ")).when(F.col("nth") > 1, F.concat(F.lit("duplicate "), "canonical", F.lit(" for "), "normalized_formula", F.lit(" skipped"))).otherwise(F.lit(""))
-    state = F.when((F.size("empty") == 0) & F.col("allowed") & (F.size(errors) > 0), "failed").when(reason != "", "rejected").otherwise("valid")
-    return df.withColumns({"reason": reason, "state": state, "property_name": F.when(state == "valid", F.col("canonical")).otherwise(F.col("property_name"))}).drop("formula_errors", "canonical", "allowed", "insane", "empty", "nth")
+    made = let(entries(row), whole)
+    return [*[made[k].alias(k) for k in ALIASES], numeric(F.try_variant_get(row, "$.value", "string")).alias("value")]
 
 
 def final_attempts(attempts: DataFrame, keys: list[str], max_attempts: int = 3) -> DataFrame:
@@ -147,18 +150,28 @@ def error_log(attempts: DataFrame, final: DataFrame, keys: list[str], errors: st
 
 
 def respond(chunks: DataFrame, model: Callable[[pd.DataFrame], pd.Series], keys: list[str], text_col: str = "text") -> DataFrame:
-    """Ask a plug-in for responses, Arrow batch by batch: (keys, response). A raising model gives null for its batch."""
+    """Ask a plug-in for responses, Arrow batch by batch: (keys, response, error).
+
+    Where a batch raises, its rows are asked one by one; a row that raises by itself has a null response and the error's text.
+    """
     kinds = ", ".join(f"{k} {chunks.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = pdf[keys].copy()
             try:
-                out["response"] = model(pdf).astype("object")
+                out["response"], out["error"] = model(pdf).astype("object"), None
             except (TypeError, ValueError, RuntimeError):
-                out["response"] = None
+                said = [alone(pdf.iloc[i : i + 1]) for i in range(len(pdf))]
+                out["response"], out["error"] = [s for s, _ in said], [e for _, e in said]
             yield out
 
-    return chunks.select(*keys, text_col, *[c for c in chunks.columns if c not in [*keys, text_col]]).mapInPandas(run, f"{kinds}, response string")
+    def alone(row: pd.DataFrame) -> tuple[str | None, str | None]:
+        try:
+            return model(row).iloc[0], None
+        except (TypeError, ValueError, RuntimeError) as e:
+            return None, str(e)
+
+    return chunks.select(*keys, text_col, *[c for c in chunks.columns if c not in [*keys, text_col]]).mapInPandas(run, f"{kinds}, response string, error string")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.functions.exprs import compact_key
+from assayloom.functions.exprs import compact_key, rounded
 
 # The query of each domain.
 DOMAIN_TERMS = {
@@ -75,14 +75,15 @@ def grams(x: Column) -> Column:
 def tfidf_scores(chunks: DataFrame, query: Column, article: str = "article_id", index: str = "index", text: str = "text") -> DataFrame:
     """(article, index, tfidf): cosine of each chunk with the article's query, over that article and query alone.
 
-    Weights are counts times ln((1 + n) / (1 + df)) + 1, norms over all terms. Chunks meet only the
-    query's own terms, so the wide term table is reduced before the join.
+    Weights are counts times ln((1 + n) / (1 + df)) + 1, norms over all terms. There is one table of term counts:
+    both uses of it are the same plan, whose exchange is made once and read twice.
     """
     docs = chunks.select(F.col(article).alias("a"), F.col(index).alias("i"), F.explode(grams(F.col(text))).alias("term"))
     tf = docs.groupBy("a", "i", "term").agg(F.count("*").alias("tf"))
     asked = chunks.groupBy(F.col(article).alias("a")).agg(F.count("*").alias("m"), F.first(query).alias("q"))
     q = asked.select("a", "m", F.explode(grams(F.col("q"))).alias("term")).groupBy("a", "m", "term").agg(F.count("*").alias("qf"))
-    df = tf.groupBy("a", "term").agg(F.count("*").alias("df"))
+    # reads the count, which it doesn't need, so that both uses of tf stay one plan
+    df = tf.groupBy("a", "term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     both = df.join(q.select("a", "term", "qf"), ["a", "term"], "full_outer").join(asked.select("a", F.col("m").alias("n")), "a")
     idf = F.log((F.lit(2.0) + F.col("n")) / (F.lit(1.0) + F.coalesce("df", F.lit(0)) + F.when(F.col("qf").isNotNull(), 1).otherwise(0))) + 1.0
     both = both.withColumn("idf", idf)
@@ -112,4 +113,4 @@ def rank_chunks(chunks: DataFrame, query: Column, top_k: int = 3, article: str =
     score = blended(F.col("tfidf"), F.col("embedding_score"), weight) + section_bonus(F.col("section_title")) + F.least(F.lit(0.10), 0.01 * F.size("matched_terms"))
     method = F.when(ok, "hybrid").otherwise("tfidf_fallback") if hybrid else F.lit("tfidf")
     df = df.withColumn("raw", score).withColumn("rank", F.row_number().over(Window.partitionBy(article).orderBy(F.desc("raw"), "index"))).where(F.col("rank") <= max(top_k, 0))
-    return df.select(article, "index", "rank", F.round("raw", 6).alias("score"), "matched_terms", method.alias("retrieval_method"), F.round("tfidf", 6).alias("tfidf_score"), F.round("embedding_score", 6).alias("embedding_score"))
+    return df.select(article, "index", "rank", rounded("raw", 6).alias("score"), "matched_terms", method.alias("retrieval_method"), rounded("tfidf", 6).alias("tfidf_score"), rounded("embedding_score", 6).alias("embedding_score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.exprs import number, text
+from assayloom.functions.exprs import let, number, rounded, text
 
 # How a scale label reads.
 LABEL = r"(?iU)(\d+(?:[.,]\d+)?)\s*(nm|nanometers?|(?:u|micro)m|micrometers?|mm|cm|m)\b"
@@ -31,7 +31,7 @@ def scale_bar_confidence(w: Column, h: Column, y: Column, image_w: Column, image
     aspect = F.least(F.lit(1.0), w / F.greatest(h, F.lit(1)) / 20.0)
     low = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (y / image_h - 0.45) / 0.45))
     wide = F.least(F.lit(1.0), w / F.greatest(F.lit(1.0), image_w * 0.25))
-    return F.round(0.45 * aspect + 0.35 * low + 0.20 * wide, 3)
+    return let(0.45 * aspect + 0.35 * low + 0.20 * wide, lambda c: rounded(c, 3))
 
 
 def circularity(area: Column, perimeter: Column) -> Column:

@@ -127,7 +127,7 @@ def domain_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", L.nano_hits(x).alias("hits"), L.effective_domain(domain, x).alias("effective"))
 
 
-@query("""SELECT doc_id, CASE doc_id %% 3 WHEN 0 THEN 0.08 WHEN 1 THEN 0.03 ELSE 0.0 END AS bonus, len(CASE doc_id %% 3 WHEN 0 THEN '%s' WHEN 1 THEN '%s' ELSE '%s' END) AS query_chars FROM documents""" % (R.DOMAIN_TERMS["nanozymes"], R.DOMAIN_TERMS["oxazolidinones"], R.DEFAULT_TERMS))
+@query("""SELECT doc_id, CAST(CASE doc_id %% 3 WHEN 0 THEN 0.08 WHEN 1 THEN 0.03 ELSE 0.0 END AS DOUBLE) AS bonus, len(CASE doc_id %% 3 WHEN 0 THEN '%s' WHEN 1 THEN '%s' ELSE '%s' END) AS query_chars FROM documents""" % (R.DOMAIN_TERMS["nanozymes"], R.DOMAIN_TERMS["oxazolidinones"], R.DEFAULT_TERMS))
 def domain_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 3
     domain = F.when(k == 0, " Nano-Zymes").when(k == 1, "OXAZOLIDINONES").otherwise("other")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.functions.exprs import number
+from assayloom.functions.exprs import fixed, let, number, rounded, short
 from assayloom.operators import evaluate as E
 from assayloom.operators import lineage as L
 from assayloom.operators import vision as V
@@ -45,6 +45,17 @@ def mic_to_molar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", prop.alias("property_name"), value.alias("value"), out.alias("unit"))
 
 
+#: Numbers that land on a half, or beside one, once rounded to three places.
+TIES = ["2.6755", "8.3455", "1.2345", "0.5075", "4.0125", "-2.6755", "0.0625", "1234567.0625", "99999.9995", "3"]
+
+
+@query("SELECT p_partkey, CAST(printf('%.3f', x) AS DOUBLE) AS rounded, printf('%.3f', x) AS fixed, printf('%g', x * 1000) AS short FROM (SELECT p_partkey, CAST(CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TIES)) + " END AS DOUBLE) + p_size AS x FROM part)")
+def rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*[F.lit(t) for t in TIES]), (F.col("p_partkey") % 10 + 1).cast("int"))
+    d = table(spark, sf_dir, "part").select("p_partkey", (number(said) + F.col("p_size")).alias("x"))
+    return d.select("p_partkey", rounded("x", 3).alias("rounded"), fixed("x", 3).alias("fixed"), let(F.col("x") * 1000, short).alias("short"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN NULL ELSE CAST(p_size AS DOUBLE) + 0.5 END AS value FROM part")
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("p_size") % 4, F.col("p_size").cast("string")
@@ -70,7 +81,7 @@ def scale_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT DISTINCT l_partkey, l_suppkey, l_quantity * 4 AS w, l_linenumber * 2 AS h, l_partkey % 240 AS y FROM lineitem)
-SELECT l_partkey, l_suppkey, w, h, y, w >= 20 AND h >= 2 AND h <= 12 AND w / h >= 6 AND y >= 108 AS is_bar, round(0.45 * least(1.0, (w / h) / 20.0) + 0.35 * least(1.0, greatest(0.0, (y / 240.0 - 0.45) / 0.45)) + 0.20 * least(1.0, w / 80.0), 3) AS confidence FROM b""")
+SELECT l_partkey, l_suppkey, w, h, y, w >= 20 AND h >= 2 AND h <= 12 AND w / h >= 6 AND y >= 108 AS is_bar, CAST(printf('%.3f', CAST(0.45 AS DOUBLE) * least(1.0, CAST(w AS DOUBLE) / h / 20.0) + CAST(0.35 AS DOUBLE) * least(1.0, greatest(0.0, (CAST(y AS DOUBLE) / 240.0 - 0.45) / 0.45)) + CAST(0.20 AS DOUBLE) * least(1.0, CAST(w AS DOUBLE) / 80.0)) AS DOUBLE) AS confidence FROM b""")
 def scalebar_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_quantity") * 4).alias("w"), (F.col("l_linenumber") * 2).alias("h"), (F.col("l_partkey") % 240).alias("y")).distinct()
     box = [F.col("w"), F.col("h"), F.col("y"), F.lit(320), F.lit(240)]

@@ -6,24 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from assayloom.functions.exprs import strip
 from assayloom.operators.aggregate import CLEAN, normalize_molecules
-from assayloom.operators.chunk import TARGETS, bounds, sections_of, selected
-
+from assayloom.operators.chunk import parts_of
 from assayloom.operators.text import clean_markdown
 
+
 def read_articles(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """(article_id, markdown) of Markdown files as they appear."""
     files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", max_files).load(folder)
     return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("article_id"), F.col("value").alias("markdown"))
 
 def chunk_stream(articles: DataFrame, targets: list[str] | None = None, max_chars: int = 6000, overlap: int = 400) -> DataFrame:
-    """Chunks of a stream of articles: stateless, numbered by (section, part) instead of one running number."""
-    t = clean_markdown(articles)
-    chosen = F.filter(sections_of(F.col("markdown")), lambda s: selected(s["title"], targets or TARGETS))
-    parts = t.select("article_id", F.posexplode(chosen).alias("section", "s")).select("article_id", "section", F.col("s.title").alias("section_title"), strip(F.concat(F.lit("## "), "s.title", F.lit("\n\n"), "s.body")).alias("t"))
-    cut = parts.select("article_id", "section", "section_title", "t", F.posexplode(bounds(F.col("t"), max_chars, overlap)).alias("part", "b"))
-    return cut.select("article_id", "section", "part", "section_title", strip(F.substring(F.col("t"), F.col("b.start") + 1, F.col("b.stop") - F.col("b.start"))).alias("text"))
+    """Chunks of a stream of articles: stateless, numbered by (section, part) instead of one running number.
+
+    An article without a selected section is cut whole, as in the batch form.
+    """
+    return parts_of(clean_markdown(articles), "article_id", "markdown", targets, max_chars, overlap).select("article_id", "section", "part", "section_title", "text")
 
 def upsert_measurements(rows: DataFrame, table: str, checkpoint: str, decimals: int = 3) -> StreamingQuery:
     """Keep the best row of each key in a Parquet table, batch by batch: its next version is the better of old and new."""

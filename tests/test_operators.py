@@ -122,7 +122,7 @@ def test_chunk_bounds_against_a_loop(spark):
     texts = ["x" * n + ". " + "y; " * (n // 3) + "\n\n" + "é\n" * n for n in (0, 1, 300, 700, 1500)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for most, overlap in ((500, 0), (500, 100), (600, 599)):
-        got = [[tuple(b) for b in r.b] for r in df.select(C.bounds(F.col("t"), most, overlap).alias("b")).collect()]
+        got = [[(b.start, b.stop) for b in r.b] for r in df.select(C.bounds(F.col("t"), F.length("t"), most, overlap).alias("b")).collect()]
         assert got == [plain_bounds(t, most, overlap) for t in texts]
 
 

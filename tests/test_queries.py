@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -28,7 +29,7 @@ def plain(v):
         return None
     if isinstance(v, bool):
         return v
-    if isinstance(v, (int, float)):
+    if isinstance(v, (int, float, Decimal)):
         return float(v)
     return str(v)
 
