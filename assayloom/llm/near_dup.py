@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from assayloom.llm.common import batches, groups, hash_words, rolling, stored, utf8, workspace
 
 BANDS, ROWS = 40, 5
+#: Ids of left-out documents that are broadcast at most, 16 bytes each.
+BROADCAST_IDS = 2_000_000
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
@@ -277,7 +279,9 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Rows that share an id are one document, of which one row stays. Rows with a null id stay.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct()
+    gone = stored(found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct(), "near-duplicates")
+    # up to a counted bound the ids go to the texts, beyond it both are shuffled
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     out = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
     again = stored(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again"), "repeated-ids")
     if again.limit(1).count():
