@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from assayloom.llm.common import batches, groups, hash_words, rolling, stored, utf8, workspace
 
 BANDS, ROWS = 40, 5
-#: Ids of left-out documents that are broadcast at most, 16 bytes each.
+#: Ids of clustered or of left-out documents that are broadcast at most, 16 bytes each.
 BROADCAST_IDS = 2_000_000
 Keep = Callable[[DataFrame, str], DataFrame]
 
@@ -264,8 +264,10 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle_words:
     clusters = keep(rough_clusters(members, sigs, least, chunk, max(1, bands // 10), keep).select("node", F.col("root").alias("g")), "clusters")
     # a chunk of sets is bounded in shingles too: each thousand counts as one more document
     weights = clusters.join(reps.select(F.col("rep").alias("node"), (F.col("n") / 1000 + 1).cast("long").alias("w")), "node")
+    # up to a counted bound the ids go to the texts, beyond it both are shuffled
+    ids = clusters.select(F.col("node").alias("id"))
+    sets = keep(shingle_sets(docs, F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, text_col, shingle_words), "sets")
     clusters = clusters.withColumn("comp", F.col("node")).join(weights.groupBy("g").agg(F.sum("w").alias("size")), "g")
-    sets = keep(shingle_sets(docs, clusters.select(F.col("node").alias("id")), id_col, text_col, shingle_words), "sets")
     comps = linked(clusters, sets, "set", (num, den), chunk // 2, "links", keep).withColumnRenamed("node", "rep")
     classes = reps.select("digest", "rep").join(comps, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
     out = sketch.select("id", "n", "digest").join(classes, "digest", "left")
