@@ -86,7 +86,7 @@ def _rounded(x: Column, scale: Column) -> Column:
 
 def fixed(x: Column | str, decimals: int) -> Column:
     """A double as text with so many decimals, rounded as ``rounded`` does."""
-    return F.format_string(f"%.{decimals}f", rounded(x, decimals))
+    return F.when(col(x).isNotNull(), F.format_string(f"%.{decimals}f", rounded(x, decimals)))
 
 
 def short(x: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,40 @@ def records(df: DataFrame, smiles: str, prop: str, value: str, order: str, decim
     return out.where((F.col("smiles") != "") & (F.col("value") != ""))
 
 
+# The columns an evaluation file may have.
+SMILES_COLUMNS = ["canonical_smiles", "smiles", "SMILES"]
+PROPERTY_COLUMNS = ["property_name", "property", "endpoint"]
+VALUE_COLUMNS = ["value", "pMIC", "pmic", "property_value", "activity_value", "label"]
+
+
+def load_records(rows: DataFrame, order: str, path: str = "", smiles: str | None = None, prop: str | None = None, value: str | None = None, decimals: int = 3, canonical: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``records`` of a file's rows, its columns found by name; a SMILES that ``canonical`` can't read ends the job.
+
+    ``order`` numbers the file's rows from 0; the header is its line 1.
+    """
+    s, p, v = (given or pick_column(rows.columns, names) for given, names in ((smiles, SMILES_COLUMNS), (prop, PROPERTY_COLUMNS), (value, VALUE_COLUMNS)))
+    df = records(rows, s, p, v, order, decimals)
+    if canonical is None:
+        return df
+    bad = F.raise_error(F.concat(F.lit(f"Invalid SMILES in {path} at row "), (F.col("order") + 2).cast("string"), F.lit(": "), "smiles"))
+    return df.withColumn("smiles", F.coalesce(F.nullif(canonical(F.col("smiles")), F.lit("")), bad.cast("string")))
+
+
+def metrics_text(m: DataFrame) -> DataFrame:
+    """(line): the metrics as name=value, shares with six decimals."""
+    counts = ["gold_records", "generated_records", "gold_keys", "generated_keys", "shared_keys", "missing_keys", "extra_keys", "exact_value_matches"]
+    shares = ["value_accuracy_on_shared_keys", "key_precision", "key_recall", "key_f1", "macro_f1"]
+    lines = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in counts] + [F.concat(F.lit(f"{c}="), let(F.col(c), lambda x: fixed(x, 6))) for c in shares]
+    return m.select(F.posexplode(F.array(*lines)).alias("place", "line"))
+
+
+def evaluation(gold: DataFrame, made: DataFrame) -> DataFrame:
+    """One row of all counts and shares: records, distinct keys, and ``metrics`` under the names of the report."""
+    n = gold.agg(F.count("*").alias("gold_records")).crossJoin(made.agg(F.count("*").alias("generated_records")))  # one row each
+    m = metrics(gold, made).withColumnsRenamed({"gold_records": "gold_keys", "generated_records": "generated_keys", "exact_matches": "exact_value_matches", "value_accuracy": "value_accuracy_on_shared_keys"})
+    return n.crossJoin(m.drop("labels"))
+
+
 def last_wins(df: DataFrame) -> DataFrame:
     """One value for each key: that of the last record."""
     return df.groupBy("smiles", "property_name").agg(F.max_by("value", "order").alias("value"))
@@ -60,6 +96,16 @@ def mismatches(gold: DataFrame, made: DataFrame) -> DataFrame:
     return _both(gold, made).select(F.col("smiles").alias("canonical_smiles"), "property_name", g.alias("gold_value"), p.alias("generated_value"), status.alias("status"))
 
 
+def pick_column(columns: list[str], candidates: list[str]) -> str:
+    """The column that the first matching candidate names, case and punctuation aside."""
+    key = lambda name: "".join(c.lower() for c in name if c.isalnum())
+    by_key = {key(c): c for c in columns}
+    for c in candidates:
+        if key(c) in by_key:
+            return by_key[key(c)]
+    raise ValueError(f"none of {candidates} among {columns}")
+
+
 def access_flag(x: Column | str) -> Column:
     t = text(x)
     return F.when(t.isin("1", "1.0", "true", "True", "yes", "open"), "1").when(t.isin("0", "0.0", "false", "False", "no", "closed"), "0").otherwise(t)
@@ -75,6 +121,17 @@ def article_references(df: DataFrame, pdf: str, doi: str, title: str, access: st
     return rows.groupBy("key").agg(filled("pdf").alias("pdf"), F.min_by("doi", "o").alias("doi"), filled("title").alias("title"), F.min_by("access", "o").alias("access"), F.count("*").alias("row_count"))
 
 
+def distinct_references(df: DataFrame, pdf: str, doi: str, title: str, order: str) -> DataFrame:
+    """The first row of each (pdf, doi, title), as text, that names an article at all."""
+    rows = df.withColumns({pdf: text(pdf), doi: text(doi), title: text(title)})
+    return first_distinct(rows.where((F.col(pdf) != "") | (F.col(doi) != "") | (F.col(title) != "")), [pdf, doi, title], [order])
+
+
+def domain_of(paths: list[str]) -> str:
+    """The name of a single reference file without its ending, else ``articles``."""
+    return paths[0].rsplit("/", 1)[-1].rsplit(".", 1)[0] if len(paths) == 1 else "articles"
+
+
 def first_distinct(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     rest = [c for c in df.columns if c not in keys]

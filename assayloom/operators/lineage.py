@@ -58,10 +58,14 @@ def manifest(articles: DataFrame, article: str, **parts: DataFrame) -> DataFrame
 
 
 def chunk_view(chunks: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunks with their retrieval result, if any: selected first, then by rank and place."""
+    """Chunks with their retrieval result, if any; ``for_display`` sorts what is shown."""
     r = ranked.select(*keys, F.col("rank").alias("retrieval_rank"), F.col("score").alias("retrieval_score"), "retrieval_method")
-    out = chunks.join(r, keys, "left").withColumns({"selected": F.col("retrieval_rank").isNotNull(), "retrieval_method": F.coalesce("retrieval_method", F.lit("")), "chars": F.length("text"), "preview": F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" "))})
-    return out.orderBy(F.desc("selected"), F.asc_nulls_last("retrieval_rank"), *keys)
+    return chunks.join(r, keys, "left").withColumns({"selected": F.col("retrieval_rank").isNotNull(), "retrieval_method": F.coalesce("retrieval_method", F.lit("")), "chars": F.length("text"), "preview": F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" "))})
+
+
+def for_display(view: DataFrame, keys: list[str]) -> DataFrame:
+    """A chunk view in the order people read it."""
+    return view.orderBy(F.desc("selected"), F.asc_nulls_last("retrieval_rank"), *keys)
 
 
 def evidence_preview(x: Column, most: int = 180) -> Column:
@@ -87,19 +91,17 @@ def safe_filename(x: Column, variant: str = "runs") -> Column:
 
     ``runs``: runs of others become one underscore, ends stripped of ``._-``, 80 characters, default ``article``.
     ``chars``: letters, digits and ``-_.`` stay, each other becomes an underscore, 80 characters, ends stripped of ``._``.
+    ``long``: the same with 120 characters. ``plain``: letters, digits and ``-_`` stay, 80 characters, ends stripped of
+    ``_``, default ``artifact``.
     """
     t = text(x)
     if variant == "runs":
         made = F.substring(F.regexp_replace(F.regexp_replace(t, "[^A-Za-z0-9._-]+", "_"), r"^[._-]+|[._-]+\z", ""), 1, 80)
-    elif variant == "chars":
-        made = F.regexp_replace(F.substring(F.regexp_replace(t, r"[^\p{L}\p{N}\-_.]", "_"), 1, 80), r"^[._]+|[._]+\z", "")
+    elif variant in ("chars", "long"):
+        made = F.regexp_replace(F.substring(F.regexp_replace(t, r"[^\p{L}\p{N}\-_.]", "_"), 1, 80 if variant == "chars" else 120), r"^[._]+|[._]+\z", "")
+    elif variant == "plain":
+        made = F.regexp_replace(F.substring(F.regexp_replace(t, r"[^\p{L}\p{N}\-_]", "_"), 1, 80), r"^_+|_+\z", "")
+        return or_default(made, "artifact")
     else:
         raise ValueError(f"no variant {variant!r}")
     return or_default(made, "article")
-
-
-def diagnostics(n_chunks: Column, n_ranked: Column, n_states: Column, n_candidates: Column, n_valid: Column, n_clean: Column) -> Column:
-    """Why an article has no clean row, as texts; none where it has."""
-    rules = [(n_chunks == 0, "no text could be cut into chunks"), ((n_chunks > 0) & (n_ranked == 0), "no chunk was chosen"), ((n_ranked > 0) & (n_states == 0), "no extraction was run"), ((n_states > 0) & (n_candidates == 0), "extraction found no candidate"), ((n_candidates > 0) & (n_valid == 0), "no candidate passed validation"), ((n_valid > 0) & (n_clean == 0), "no validated row could be aggregated")]
-    every = F.array(*[F.when(c, F.lit(said)) for c, said in rules])
-    return F.when(n_clean > 0, F.array().cast("array<string>")).otherwise(F.filter(every, lambda r: r.isNotNull()))

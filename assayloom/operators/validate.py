@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from assayloom.functions.chem import canonical_property, clean_formula, formula_errors, property_allowed, sanity_errors
 from assayloom.functions.exprs import let, letters_key, strip, text
 from assayloom.operators.extract import first_object, nano_row, ordered_union, unfenced
+from assayloom.tables import stored
 
 # The fields of a row, in the order in which they are checked; those with a default may be missing.
 MOLECULE_FIELDS = {"compound_id": None, "smiles": None, "property_name": None, "value": None, "unit": None}
@@ -330,11 +331,11 @@ def empty_responses(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.select(*keys, F.lit(1).alias("attempt"), F.lit('{"rows": []}').alias("response"))
 
 
-def with_retries(chunks: DataFrame, ask: Callable[[DataFrame], DataFrame], keys: list[str], nano: bool, max_attempts: int = 3, canonical: Lifted | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+def with_retries(chunks: DataFrame, ask: Callable[[DataFrame], DataFrame], keys: list[str], nano: bool, max_attempts: int = 3, canonical: Lifted | None = None, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """Ask a model about each chunk until its rows have no errors, ``max_attempts`` times at most; what counts, as ``outcome``.
 
     ``ask`` gets the chunks still open with ``attempt`` and ``errors`` (so far) and returns (keys, response). Each round's
-    judged answers are kept (``keep``: a checkpoint by default), so that no chunk is asked twice for one attempt.
+    judged answers are kept (``keep``: a table in the shared folder), so that no chunk is asked twice for one attempt.
     """
     made, open_chunks = None, chunks.withColumns({"attempt": F.lit(1), "errors": F.array().cast(_NONE)})
     for n in range(1, max(1, max_attempts) + 1):

@@ -22,12 +22,6 @@ def article_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.article_references(d, "pdf", "doi", "title", "access", "page_id")
 
 
-@query("SELECT lang, source, arg_min(doc_id, doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY lang, source")
-def refs_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars")
-    return E.first_distinct(d, ["lang", "source"], ["doc_id"])
-
-
 @query("""WITH g AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, l_partkey, l_quantity FROM lineitem)
 SELECT l_orderkey || ':records:' || i AS source_id, 'C' || l_partkey AS smiles, printf('%.3f', l_quantity) AS value FROM g""")
 def gold_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,10 +144,3 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.array(F.array(F.lit("a "), F.lit("b")), F.array(F.lit(" "), F.lit("")), F.array(F.col("s_suppkey").cast("string"), F.lit("x|y")), F.array(F.lit("z")))
     tables = F.array(F.struct(F.lit(1).alias("index"), F.lit(2).alias("page"), pipe_table(cells).alias("markdown")))
     return table(spark, sf_dir, "supplier").select("s_suppkey", merge_tables(F.lit(" \n"), tables).alias("markdown"))
-
-
-@query("SELECT s_suppkey, CAST(s_suppkey % 5 = 0 AS INTEGER) AS n_reasons FROM supplier")
-def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = F.col("s_suppkey") % 5 == 0
-    n = F.lit(3)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.size(L.diagnostics(n, n, n, n, F.when(bad, 0).otherwise(2), F.when(bad, 0).otherwise(1))).alias("n_reasons"))

@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from assayloom.plans import articles, extraction, measurements, ranking, records  # noqa: E402, F401
+from assayloom.plans import articles, extraction, measurements, pipelines, ranking, records  # noqa: E402, F401

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.functions.exprs import strip
+from assayloom.operators.evaluate import pick_column  # noqa: F401
 from assayloom.operators.extract import envelope_rows
 
 #: The fields an extraction row may have; all are read as text.
@@ -19,18 +20,12 @@ def column_key(name: str) -> str:
     return "".join(c.lower() for c in name if c.isalnum())
 
 
-def pick_column(columns: list[str], candidates: list[str]) -> str:
-    """The column that the first matching candidate names, case and punctuation aside."""
-    by_key = {column_key(c): c for c in columns}
-    for c in candidates:
-        if column_key(c) in by_key:
-            return by_key[column_key(c)]
-    raise ValueError(f"none of {candidates} among {columns}")
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns as text; a byte-order mark before the header is dropped.
 
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; a byte-order mark before the header is dropped."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    Cells may hold line breaks, which makes a file one task; without ``multi_line`` large files are split.
+    """
+    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
@@ -93,25 +88,83 @@ def merge_tables(markdown: Column, tables: Column) -> Column:
     return strip(F.array_join(F.filter(F.concat(F.array(strip(markdown)), parts), lambda p: p != ""), "\n\n"))
 
 
-def read_documents(spark: SparkSession, path: str, parse: Callable[[bytes], tuple[str, list[dict], list[str]]]) -> DataFrame:
-    """(source, markdown, tables, warnings) of the files under ``path``; ``parse`` is a plug-in, run where the file is.
+Cells = list[list[str | None]]
+#: Parsers of a file's bytes: its text, and the tables (page, rows of cells) that one way of looking finds.
+TextParser = Callable[[bytes], str]
+TableParser = Callable[[bytes], list[tuple[object, Cells]]]
+
+
+def safe_int(x: object) -> int | None:
+    """An integer, or None for what is none."""
+    try:
+        return int(x)  # type: ignore[call-overload]
+    except (TypeError, ValueError):
+        return None
+
+
+def _tables(content: bytes, ways: dict[str, TableParser], warnings: list[str]) -> list[dict]:
+    """The tables of the first way that finds any that isn't blank; a table keeps its place among all that way found."""
+    for flavor, look in ways.items():
+        try:
+            found = look(content)
+        except Exception as e:  # one way that fails leaves the others
+            warnings.append(f"{flavor} mode failed: {e}")
+            continue
+        made = [{"index": i, "page": safe_int(page), "flavor": flavor, "rows": [["" if c is None else str(c) for c in row] for row in rows]} for i, (page, rows) in enumerate(found, 1)]
+        if kept := [t for t in made if any(c.strip() for row in t["rows"] for c in row)]:
+            return kept
+    return []
+
+
+def read_documents(spark: SparkSession, path: str, parse: TextParser | None, tables: dict[str, TableParser] | None = None, name: str = "docling", table_name: str = "camelot") -> DataFrame:
+    """(source, parser, markdown, tables, table_count, warnings) of the PDF files under ``path``, parsed where they are.
 
-    A parser that raises gives an empty document with a warning.
+    ``parse`` gives the text and ``tables`` the ways to look for tables, tried in order. Neither ends the job: what is
+    missing or raises is a warning. The tables follow the text; the parser's name says whether there are any.
     """
+    ways = dict(tables or {})
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for source, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    markdown, tables, warnings = parse(content)
-                except Exception as e:  # a file that can't be parsed must not end the job
-                    markdown, tables, warnings = "", [], [f"{type(e).__name__}: {e}"]
-                out.append((source, markdown, tables, warnings))
-            yield pd.DataFrame(out, columns=["source", "markdown", "tables", "warnings"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(run, "source string, markdown string, tables array<struct<index:int,page:int,markdown:string>>, warnings array<string>")
+                warnings: list[str] = []
+                markdown = ""
+                if parse is None:
+                    warnings.append(f"{name} is not installed; document text extraction was skipped.")
+                else:
+                    try:
+                        markdown = parse(content) or ""
+                    except Exception as e:  # a file that can't be parsed must not end the job
+                        warnings.append(f"{name} failed to parse PDF: {e}")
+                if not ways:
+                    warnings.append(f"{table_name} is not installed; table extraction was skipped.")
+                out.append((source.rsplit("/", 1)[-1], markdown, _tables(content, ways, warnings), warnings))
+            yield pd.DataFrame(out, columns=["source", "markdown", "cells", "warnings"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "content")
+    made = files.mapInPandas(run, "source string, markdown string, cells array<struct<index:int,page:int,flavor:string,rows:array<array<string>>>>, warnings array<string>")
+    made = made.withColumn("tables", F.transform("cells", lambda t: F.struct(t["index"].alias("index"), t["page"].alias("page"), t["flavor"].alias("flavor"), pipe_table(t["rows"]).alias("markdown"))))
+    parser = F.when(F.size("tables") > 0, f"{name}+{table_name}").otherwise(name)
+    return made.select("source", parser.alias("parser"), merge_tables(F.col("markdown"), F.col("tables")).alias("markdown"), "tables", F.size("tables").alias("table_count"), "warnings")
+
+
+def read_pages(spark: SparkSession, path: str, render: Callable[[bytes, float, int | None], list[bytes]], dpi: int = 200, max_pages: int | None = None) -> DataFrame:
+    """(source, page, image) of the PDF files under ``path``, drawn by a plug-in at ``dpi`` / 72 times their size."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for source, content in zip(pdf["path"], pdf["content"], strict=True):
+                for i, image in enumerate(render(content, dpi / 72, max_pages)[:max_pages], 1):
+                    yield pd.DataFrame({"source": [source], "page": [i], "image": [image]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "content")
+    return files.mapInPandas(run, "source string, page int, image binary")
+
+
+def token_from(env: dict[str, str], names: list[str], given: str | None = None) -> str | None:
+    """A secret: the one given, else the first of the named settings that is filled."""
+    return next((v.strip() for v in [given, *(env.get(n) for n in names)] if v and v.strip()), None)
 
 
 def is_pdf(content: Column) -> Column:

@@ -233,18 +233,6 @@ def test_readers_and_writers(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "j")).first().value)["b"]["size"] == 2
 
 
-def test_documents_by_plug_in(spark, tmp_path):
-    (tmp_path / "a.pdf").write_bytes(b"%PDF-1")
-    (tmp_path / "b.pdf").write_bytes(b"no")
-
-    def parse(content):
-        if not content.startswith(b"%PDF-"):
-            raise ValueError("not a PDF")
-        return "text", [{"index": 1, "page": 2, "markdown": "| a |"}], []
-
-    got = {r.source[-5:]: r for r in readers.read_documents(spark, str(tmp_path), parse).collect()}
-    assert got["a.pdf"].markdown == "text" and got["b.pdf"].warnings == ["ValueError: not a PDF"]
-
 
 def test_routing_and_manifest(spark):
     text = "Mn3O4 nanoparticles showed oxidase-like activity with Vmax"
