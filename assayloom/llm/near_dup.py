@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import batches, groups, hash_words, rolling, stored, utf8, workspace
+from assayloom.llm.common import batches, groups, hash_words, lean_batches, rolling, stored, utf8, workspace
 
 BANDS, ROWS = 40, 5
 #: Ids of clustered or of left-out documents that are broadcast at most, 16 bytes each.
@@ -247,6 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or wordless texts: size 0, a component of their own. Null ids: row kept, component null.
     Rows with one id count as one node. Other columns of ``docs`` are ignored. What is stored on the way goes in the end.
     """
+    lean_batches(docs.sparkSession)
     with workspace(docs.sparkSession, "near-duplicates") as keep:
         return stored(_near_duplicates(docs, id_col, text_col, shingle_words, num, den, bands, rows, seed, chunk, keep), "components")
 

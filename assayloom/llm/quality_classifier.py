@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import batches, utf8
+from assayloom.llm.common import batches, lean_batches, utf8
 from assayloom.llm.doc_stats import FEATURES, NAMES, measure, ratios
 from assayloom.llm.labelled import held_out, labelled_texts, sample
 
@@ -96,6 +96,7 @@ def score_quality(docs: DataFrame, model: Discriminant, id_col: str = "doc_id",
         for batch in batches(it, 1000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(statistics(batch.column(1).to_pylist())))], names=["id", "score"])
 
+    lean_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import batches, fresh_path, stored
+from assayloom.llm.common import batches, fresh_path, lean_batches, stored
 from assayloom.llm.files import read_whole, write_whole
 
 MAGIC, BLOCK, LANES = b"PFR1", 1024, 32
@@ -229,6 +229,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     ``file_tokens`` ids, between documents. Null texts are empty: the end id alone. Null ids go first
     and are written as the smallest long. Rows that share an id follow each other by text hash.
     """
+    lean_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.repartitionByRange("id").withColumn("h", F.xxhash64("t")).sortWithinPartitions("id", "h").select("id", "t")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import batches, utf8, workspace
+from assayloom.llm.common import batches, lean_batches, utf8, workspace
 from assayloom.llm.labelled import held_out, labelled_texts, sample
 
 #: Group words that are exchanged for each other within a line.
@@ -109,6 +109,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, label:
     row: a constant score, the classes' share (0.5 without any label). Null texts have no words. A labelled id
     that several rows share counts each of them.
     """
+    lean_batches(docs.sparkSession)
     with workspace(docs.sparkSession, "toxicity") as keep:
         return _fit(docs, labels, train_rows, label, id_col, text_col, per_class, least_chi2, ridge, fairness, keep)
 
@@ -165,6 +166,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         for batch in batches(it, 1000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["id", "score"])
 
+    lean_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
@@ -182,6 +184,7 @@ def score_column(model: ToxicityModel, text: Column) -> Column:
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score is under ``least``; null and empty texts score as no words."""
+    lean_batches(docs.sparkSession)
     return docs.where(score_column(model, F.col(text_col)) < least)
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import batches, fresh_path, stored, utf8
+from assayloom.llm.common import batches, fresh_path, lean_batches, stored, utf8
 from assayloom.llm.files import open_fs, write_whole
 
 RUN = "run string, urlkey string, ts string, page_id long, offset long, length long"
@@ -158,6 +158,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
         if captures:
             yield close()
 
+    lean_batches(pages.sparkSession)
     return stored(with_revisits(pages, least_bytes).mapInArrow(run, RUN), "captures")
 
 
