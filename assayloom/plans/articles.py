@@ -66,9 +66,9 @@ def pmic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(T.pmic(F.col("p_retailprice"), F.lit(100.0) + F.col("p_size")), 6).alias("pmic"))
 
 
-_SECTIONS = f"""WITH a AS (SELECT doc_id, text AS t FROM documents),
+_SECTIONS = f"""WITH a AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, unnest([struct_pack(n := 0, title := 'Abstract', body := t), struct_pack(n := 1, title := 'Materials and Methods', body := 'Mixed.' || {_NL} || t), struct_pack(n := 2, title := 'Results', body := t), struct_pack(n := 3, title := 'Appendix', body := 'None.')]) AS x FROM a)
-SELECT doc_id, CAST(x.n AS INTEGER) AS section, x.title AS title, CAST(length(trim(x.body, ' ' || chr(9) || chr(10))) AS INTEGER) AS n_chars, md5(trim(x.body, ' ' || chr(9) || chr(10))) AS digest FROM s"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY x.n) - 1 AS INTEGER) AS section, x.title AS title, CAST(length(trim(x.body, ' ' || chr(9) || chr(10))) AS INTEGER) AS n_chars, md5(trim(x.body, ' ' || chr(9) || chr(10))) AS digest FROM s WHERE trim(x.body, ' ' || chr(9) || chr(10)) <> ''"""
 
 
 def sectioned(t):
@@ -76,16 +76,16 @@ def sectioned(t):
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("trim(text) <> ''")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(C.sections_of(sectioned(F.col("text")))).alias("section", "s"))
 
 
-@query(_SECTIONS + " WHERE doc_id IN (SELECT doc_id FROM documents WHERE trim(text) <> '')")
+@query(_SECTIONS)
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sections(spark, sf_dir).select("doc_id", "section", F.col("s.title").alias("title"), F.length("s.body").alias("n_chars"), F.md5(F.col("s.body").cast("binary")).alias("digest"))
 
 
-@query(f"SELECT title, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM ({_SECTIONS} WHERE doc_id IN (SELECT doc_id FROM documents WHERE trim(text) <> '')) WHERE title IN ('Materials and Methods', 'Results') GROUP BY title")
+@query(f"SELECT title, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM ({_SECTIONS}) WHERE title IN ('Materials and Methods', 'Results') GROUP BY title")
 def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sections(spark, sf_dir).where(C.selected(F.col("s.title"), C.TARGETS))
     return s.groupBy(F.col("s.title").alias("title")).agg(F.count("*").alias("n"), F.sum(F.length("s.body")).alias("chars"))

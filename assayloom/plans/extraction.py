@@ -162,11 +162,11 @@ def nano_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("attempt"), F.length("text").alias("n"))
-    return d.select("conv_id", "attempt", (F.col("n") % 4 == 0).alias("failed"), (F.col("n") % 3).alias("n_errors"), F.when(F.col("n") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("error "), (F.col("n") % 5).cast("string")))).alias("errors")).dropDuplicates(["conv_id", "attempt"])
+    d = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("attempt"), F.length("text").alias("n")).groupBy("conv_id", "attempt").agg(F.min("n").alias("n"))
+    return d.select("conv_id", "attempt", (F.col("n") % 4 == 0).alias("failed"), (F.col("n") % 3).alias("n_errors"), F.when(F.col("n") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("error "), (F.col("n") % 5).cast("string")))).alias("errors"))
 
 
-_ATTEMPTS = "SELECT conv_id, CAST(turn + 1 AS INTEGER) AS attempt, length(text) % 4 = 0 AS failed, length(text) % 3 AS n_errors, 'error ' || (length(text) % 5) AS err FROM conversations"
+_ATTEMPTS = "SELECT conv_id, attempt, n % 4 = 0 AS failed, n % 3 AS n_errors, 'error ' || (n % 5) AS err FROM (SELECT conv_id, CAST(turn + 1 AS INTEGER) AS attempt, min(length(text)) AS n FROM conversations GROUP BY ALL)"
 _FINAL = f"a AS ({_ATTEMPTS}), f AS (SELECT conv_id, min(CASE WHEN NOT failed AND n_errors = 0 THEN attempt END) AS good, max(attempt) AS last, arg_max(failed, attempt) AS last_failed FROM a WHERE attempt <= 3 GROUP BY conv_id)"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayloom.operators import lineage as L
 from assayloom.operators import retrieval as R
-from assayloom.plans.registry import SQL, query, table
+from assayloom.plans.registry import query, table
 
 ASKED = "the of and der que les con table size nm activity"
 _MATCH = "regexp_extract_all(lower(text), '[a-z0-9][a-z0-9./%-]*')"
@@ -32,16 +32,22 @@ def keyword_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(R.keyword_overlap(F.lit(ASKED), F.col("text")), 6).alias("overlap"))
 
 
-def english_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents as the chunks of their source, every fifth a Results section."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the chunks of their source, whatever their language; null sources are one, ""."""
+    d = table(spark, sf_dir, "documents")
     title = F.when(F.col("doc_id") % 5 == 0, "Results").when(F.col("doc_id") % 5 == 1, "Materials and Methods").otherwise("Conclusion")
-    return d.select(F.col("source").alias("article_id"), F.col("doc_id").alias("index"), title.alias("section_title"), "text")
+    return d.select(F.coalesce("source", F.lit("")).alias("article_id"), F.col("doc_id").alias("index"), title.alias("section_title"), "text")
+
+
+_WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
 
 
-_GRAM_TOKENS = "regexp_extract_all(lower({x}), '[a-zà-öø-ÿ0-9_][a-zà-öø-ÿ0-9_./%-]*[a-zà-öø-ÿ0-9_]')"
-_TFIDF = f"""WITH d AS (SELECT source AS a, doc_id AS i, text, {_GRAM_TOKENS.format(x="text")} AS t FROM documents WHERE lang = 'en'),
-qt AS (SELECT {_GRAM_TOKENS.format(x=f"'{ASKED}'")} AS t),
+def _gram_tokens(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '[{_WORD}][{_WORD}./%-]*[{_WORD}]')"
+
+
+_TFIDF = f"""WITH d AS (SELECT coalesce(source, '') AS a, doc_id AS i, text, {_gram_tokens("text")} AS t FROM documents),
+qt AS (SELECT {_gram_tokens(f"'{ASKED}'")} AS t),
 g AS (SELECT a, i, unnest(list_concat(t, list_transform(range(1, len(t)), lambda j: t[j] || ' ' || t[j + 1]))) AS term FROM d),
 tf AS (SELECT a, i, term, count(*) AS tf FROM g GROUP BY ALL),
 q AS (SELECT term, count(*) AS qf FROM (SELECT unnest(list_concat(t, list_transform(range(1, len(t)), lambda j: t[j] || ' ' || t[j + 1]))) AS term FROM qt) GROUP BY term),
@@ -58,7 +64,7 @@ s AS (SELECT d.a, d.i, d.text, coalesce(dot / (cn * qn), 0) AS tfidf FROM d LEFT
 
 @query(_TFIDF + "SELECT a AS article_id, i AS index, round(tfidf, 6) AS tfidf FROM s")
 def tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = R.tfidf_scores(english_chunks(spark, sf_dir), F.lit(ASKED))
+    s = R.tfidf_scores(source_chunks(spark, sf_dir), F.lit(ASKED))
     return s.select("article_id", "index", F.round("tfidf", 6).alias("tfidf"))
 
 
@@ -66,28 +72,6 @@ def tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(tfidf, 9) + bonus + least(0.10, 0.01 * k) DESC, i) AS rn FROM m)
 SELECT a AS article_id, i AS index, CAST(rn AS INTEGER) AS rank, round(tfidf + bonus + least(0.10, 0.01 * k), 6) AS score FROM r WHERE rn <= 3""")
 def rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rank_chunks(english_chunks(spark, sf_dir), F.lit(ASKED), 3).select("article_id", "index", "rank", "score")
-
-
-def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as the chunks of their source, whatever their language; null sources are one, ""."""
-    d = table(spark, sf_dir, "documents")
-    title = F.when(F.col("doc_id") % 5 == 0, "Results").when(F.col("doc_id") % 5 == 1, "Materials and Methods").otherwise("Conclusion")
-    return d.select(F.coalesce("source", F.lit("")).alias("article_id"), F.col("doc_id").alias("index"), title.alias("section_title"), "text")
-
-
-_LATIN, _ANY = "a-zà-öø-ÿ0-9_", r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
-_TFIDF_ALL = _TFIDF.replace(_LATIN, _ANY).replace("source AS a", "coalesce(source, '') AS a").replace(" FROM documents WHERE lang = 'en'", " FROM documents")
-
-
-@query(SQL["tfidf_scores"].replace(_TFIDF, _TFIDF_ALL))
-def tfidf_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = R.tfidf_scores(source_chunks(spark, sf_dir), F.lit(ASKED))
-    return s.select("article_id", "index", F.round("tfidf", 6).alias("tfidf"))
-
-
-@query(SQL["rank_topk"].replace(_TFIDF, _TFIDF_ALL))
-def rank_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rank_chunks(source_chunks(spark, sf_dir), F.lit(ASKED), 3).select("article_id", "index", "rank", "score")
 
 

@@ -51,7 +51,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_ranking_scores_every_document(spark, duck):
-    got = {r["index"] for r in QUERIES["tfidf_scores_all"](spark, SF).collect()}
+    got = {r["index"] for r in QUERIES["tfidf_scores"](spark, SF).collect()}
     assert got == {r[0] for r in duck.execute("SELECT doc_id FROM documents").fetchall()}
-    ranked = {r["index"] for r in QUERIES["rank_topk_all"](spark, SF).collect()}
+    ranked = {r["index"] for r in QUERIES["rank_topk"](spark, SF).collect()}
     assert ranked - {r[0] for r in duck.execute("SELECT doc_id FROM documents WHERE lang = 'en'").fetchall()}
