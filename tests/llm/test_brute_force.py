@@ -413,3 +413,44 @@ def test_pipeline_stages_take_odd_rows(spark):
     out = pipeline.sharding(spark, df, SF)
     assert out.count() == len(texts) and out.columns.count("shard") == 1
     assert pipeline.sharding(spark, df.limit(0), SF).count() == 0
+
+
+# decontamination
+
+
+def test_windows_with_words_put_in_left_out_or_changed(spark):
+    from assayloom.llm import decontam
+
+    r = random.Random(9)
+    items = rand_texts(5, seed=19, vocabulary=400, words=80)
+    texts = []
+    for k in range(36):
+        w = items[k % 5].split()
+        at = r.randrange(len(w))
+        if k % 4 == 0:
+            w.insert(at, "added")
+        elif k % 4 == 1:
+            del w[at]
+        elif k % 4 == 2:
+            w[at] = "changed"
+        else:
+            w = w[: at // 8] + w[at // 8 + 4 :]
+        texts.append(" ".join([*rand_texts(1, seed=50 + k, words=r.randrange(30))[0].split(), *w, *rand_texts(1, seed=90 + k, words=r.randrange(30))[0].split()]))
+    texts += ["long " * 20000 + items[0], " ".join(items[1].split()[:70])]
+    got = {(x.doc_id, x.item_id): round(x.similarity, 9) for x in decontam.leaks(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), radius=19).collect()}
+    shingles = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for i, text in enumerate(texts):
+        w = text.split()
+        for j, item in enumerate(items):
+            v = item.split()
+            y = shingles(v)
+            starts = range(max(1, len(w) - len(v) + 1)) if i != 36 else range(len(w) - len(v) - 9, len(w) - len(v) + 1)
+            best = 0.0
+            for a in starts:
+                x = shingles(w[a : a + len(v)])
+                best = max(best, sum((x & y).values()) / sum((x | y).values()))
+            if best >= 0.8:
+                want[i, j] = round(best, 9)
+    # a window that runs into a document's end is shorter than its item, which can only make it more alike
+    assert len(want) > 25 and set(got) == set(want) and all(got[k] >= v for k, v in want.items())
