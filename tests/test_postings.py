@@ -1,4 +1,4 @@
-"""TF-IDF from postings: against plain Python over several articles, packing, what is shuffled."""
+"""TF-IDF from postings: against plain Python over several articles, packing, what is shuffled, ties."""
 
 from __future__ import annotations
 
@@ -53,10 +53,11 @@ def test_scores_of_many_articles(spark):
         assert [got[k] for k in of] == pytest.approx(scores([texts[k] for k in of], asked[a]), abs=1e-12)
 
 
-def test_a_shuffle_of_few_bytes_a_posting(spark):
+@pytest.mark.parametrize("op", [R.tfidf_scores, R.rank_chunks])
+def test_a_shuffle_of_few_bytes_a_posting(spark, op):
     r = random.Random(4)
     rows = [("a", i, " ".join(f"{r.choice('abcdef')}{r.randrange(10**5)}" for _ in range(200))) for i in range(400)]
-    df = spark.createDataFrame(rows, "article_id string, index int, text string").repartition(2, "index").localCheckpoint()
+    df = spark.createDataFrame(rows, "article_id string, index int, text string").withColumn("section_title", F.lit("Results")).repartition(2, "index").localCheckpoint()
     context = spark.sparkContext
     store, none = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
 
@@ -66,5 +67,18 @@ def test_a_shuffle_of_few_bytes_a_posting(spark):
         return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
 
     before = shuffled()
-    R.tfidf_scores(df, F.lit("a1 b2")).write.format("noop").mode("overwrite").save()
+    op(df, F.lit("a1 b2")).write.format("noop").mode("overwrite").save()
     assert shuffled() - before < 12 * sum(len(grams(t)) for _, _, t in rows)
+
+
+def test_sums_that_differ_in_their_last_bits_are_ties(spark):
+    # all words are in one text only, so equal counts make equal scores, in whatever order they are added
+    r = random.Random(5)
+    rows = []
+    for i in range(60):
+        counts = [1, 2, 3, 5, 7, 11, 13]
+        r.shuffle(counts)
+        rows.append(("a", i, "Conclusion", " ".join(["km", *(f"t{i}x{k}" for k, n in enumerate(counts) for _ in range(n))])))
+    df = spark.createDataFrame(rows, "article_id string, index int, section_title string, text string").repartition(3)
+    got = [x["index"] for x in R.rank_chunks(df, F.lit("km"), 60).orderBy("rank").collect()]
+    assert got == list(range(60))
