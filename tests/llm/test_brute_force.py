@@ -217,6 +217,35 @@ def test_threshold_against_every_choice():
         assert not allowed or (at in allowed and best(at) == pytest.approx(max(map(best, allowed))))
 
 
+def test_forest_and_threshold_use_every_labelled_row(spark, monkeypatch):
+    # 9000 good rows of two kinds; a bound of some thousand rows a class would leave some out
+    texts = [f"plain words of length {'x' * (k % 3)}" if k % 2 else f"other {'y ' * (k % 5)} words" for k in range(9000)] + [f"bad row {'# ' * (k % 4)}" for k in range(40)]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 9000)) for i in range(len(texts))], "doc_id long, quality int")
+    x = doc_stats.ratios(np.array([doc_stats.measure(t.encode()) for t in texts]))
+    y = np.array([int(i < 9000) for i in range(len(texts))])
+    for keep_good in (0.99, 0.5):
+        forest = quality_rules.fit_forest(df, labels, trees=20, size=64, keep_good=keep_good)
+        assert forest.threshold == quality_rules.calibrate(forest.score(x), y, keep_good)
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 0)
+    same = quality_rules.fit_forest(df.repartition(3), labels.repartition(2), trees=20, size=64, keep_good=0.5)
+    assert np.array_equal(same.value, forest.value) and same.threshold == forest.threshold
+    kinds, n = np.unique(np.column_stack([y, x]), axis=0, return_counts=True)
+    table = spark.createDataFrame([(int(k[0]), k[1:].tolist(), int(c)) for k, c in zip(kinds, n, strict=True)], "y int, x array<double>, n long")
+    everything = quality_rules.draw(table, 2, len(texts))
+    for drawn in everything:
+        assert np.array_equal(drawn[np.lexsort(drawn.T)], x[np.lexsort(x.T)])
+
+
+def test_threshold_over_a_table_is_that_of_arrays(spark):
+    r = np.random.default_rng(9)
+    for k in range(6):
+        y = (r.random(3000) < (1.0 if k == 4 else 0.8)).astype(int)
+        scores = np.round(r.random(3000) * 0.5 + 0.3 * (1 - y) * r.random(), 3 if k % 2 else 6)
+        table = spark.createDataFrame([(int(a), 1, float(s)) for a, s in zip(y, scores, strict=True)], "y int, n long, s double")
+        assert quality_rules.threshold(table, 0.9) == quality_rules.calibrate(scores, y, 0.9)
+
+
 def test_discriminant_against_plain_densities(spark):
     df, labels = labelled_rows(spark)
     got = {r.doc_id: r for r in quality_classifier.quality_scores(df, labels).collect()}
