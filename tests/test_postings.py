@@ -82,3 +82,10 @@ def test_sums_that_differ_in_their_last_bits_are_ties(spark):
     df = spark.createDataFrame(rows, "article_id string, index int, section_title string, text string").repartition(3)
     got = [x["index"] for x in R.rank_chunks(df, F.lit("km"), 60).orderBy("rank").collect()]
     assert got == list(range(60))
+
+
+def test_matched_terms_keep_the_order_of_the_query(spark):
+    df = spark.createDataFrame([("Km and vmax, km; IC50",), ("a b",), ("",), (None,)], "t string")
+    asked = F.lit("ic50 vmax km a km absent")
+    got = [r[0] for r in df.select(R.matched_terms(asked, F.col("t"))).collect()]
+    assert got == [["ic50", "vmax", "km"], [], [], []]
